@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from condnet.common import dest_key, table
+from condnet.llm.mixing import counted, mix, shares
 from condnet.llm.runs import as_number, event_runs, packed_runs
 from condnet.llm.tokens import decode, encode
 from condnet.llm.topn import top_n
@@ -41,7 +42,18 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     return decode(p7_ids(spark, d), "doc_id").select("doc_id", F.md5("text").alias("md5"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_event_runs, p7_ids, p7_decoded)}
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix: each document used and how often."""
+    return mix(counted(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares asked for and reached."""
+    sizes, listed = counted(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    return shares(mix(sizes, listed), sizes, listed)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_event_runs, p7_ids, p7_decoded, p8_mix, p8_shares)}
 
 _KEY = "nullif(lower(trim(dest, ' \t')), '')"
 ORACLE = {
