@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from condnet.common import dest_key, table
 from condnet.llm.mixing import counted, mix, shares
 from condnet.llm.runs import as_number, event_runs, packed_runs
+from condnet.llm.subjects import areas
 from condnet.llm.tokens import decode, encode
 from condnet.llm.topn import top_n
 from condnet.operators.packed import PATH, once
@@ -53,7 +54,21 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(mix(sizes, listed), sizes, listed)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_event_runs, p7_ids, p7_decoded, p8_mix, p8_shares)}
+def _areas(spark: SparkSession, d: str) -> DataFrame:
+    return areas(table(spark, d, "documents"), table(spark, d, "subject_examples"), table(spark, d, "subjects"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _areas(spark, d).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each area has, and how many characters of text."""
+    docs = table(spark, d, "documents").select("doc_id", F.char_length("text").alias("chars"))
+    return _areas(spark, d).join(docs, "doc_id").groupBy("subject").agg(F.count("*").alias("documents"), F.sum("chars").alias("chars"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_event_runs, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_composition)}
 
 _KEY = "nullif(lower(trim(dest, ' \t')), '')"
 ORACLE = {
