@@ -142,8 +142,8 @@ def c_join_data(left: DataFrame, right: DataFrame, on: list[tuple[str, str, str]
 def c_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str, str]], path_len: bool = False, split: bool = True, solve: bool = True, cols: list[str] | None = None) -> DataFrame:
     """Join of two conditional tables: conditions of both sides, then one comparison per join column; of an equality's two cells a variable wins, else the right one.
 
-    Columns: those of the left, then those only the right has, then the conditions. path_len: with `path` and `len_path`
-    columns, also demand that the left path is as long as the right one.
+    Columns: those of the left, then those only the right has, then the conditions. path_len: also demand that the
+    left path is as long as the right one is in hops, and leave the right side's len_path out.
     """
     for side in (left, right):
         if any(c.startswith("__") for c in side.columns):
@@ -155,7 +155,7 @@ def c_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str, str]], pa
     for a, op, b in on:
         cond = F.array_append(cond, F.concat(F.col(f"l_{a}").cast("string"), F.lit(f" {operator(op)} "), F.col(f"r_{b}").cast("string")))
     if path_len:
-        cond = F.array_append(cond, F.concat(F.lit("l("), F.col("l_path"), F.lit(") == "), F.col("r_len_path").cast("string")))
+        cond = F.array_append(cond, F.concat(F.lit("l("), F.col("l_path"), F.lit(") == "), hops(F.col("r_path")).cast("string")))
     partner = {a: b for a, op, b in on if op == "=="}
     merged = [
         F.when(is_var(F.col(f"l_{c}").cast("string")), F.col(f"l_{c}")).otherwise(F.col(f"r_{partner[c]}")).alias(c) if c in partner and dict(left.dtypes)[c] == "string" else F.col(f"l_{c}").alias(c)
