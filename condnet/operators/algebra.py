@@ -49,12 +49,21 @@ def _text(p: Pred) -> Column:
     return F.concat(a, F.lit(f" {operator(p.op)} "), b)
 
 
+_WHOLE = ("int", "bigint", "smallint", "tinyint")
+
+
+def _numbers(p: Pred | Or, kinds: dict[str, str]) -> bool:
+    """Whether whole numbers are compared: constants, which the data phase decides for good."""
+    if isinstance(p, Or):
+        return all(_numbers(q, kinds) for q in p.preds)
+    return not p.deferred and kinds.get(p.left) in _WHOLE and (kinds.get(str(p.right)) in _WHOLE if p.column else str(p.right).lstrip("-").isdigit())
+
+
 def _test(p: Pred, kinds: dict[str, str]) -> Column:
     if p.deferred:
         return F.lit(True)
     a, b = _side(p)
-    whole = ("int", "bigint", "smallint", "tinyint")
-    if kinds.get(p.left) in whole and (kinds.get(str(p.right)) in whole if p.column else str(p.right).lstrip("-").isdigit()):
+    if _numbers(p, kinds):
         a, b = F.col(p.left), F.col(str(p.right)) if p.column else F.lit(int(p.right))
         ops = {"==": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}
         return F.coalesce(ops[operator(p.op)], F.lit(False))
@@ -74,9 +83,11 @@ def c_data(df: DataFrame, preds: list[Pred | Or]) -> DataFrame:
 
 
 def c_condition(df: DataFrame, preds: list[Pred | Or]) -> DataFrame:
-    """Every predicate's text appended to the conditions."""
-    out = conditions_of(df)
+    """The text of every predicate that may involve variables appended to the conditions."""
+    out, kinds = conditions_of(df), dict(df.dtypes)
     for p in preds:
+        if _numbers(p, kinds):
+            continue
         t = F.concat(F.lit("Or("), F.concat_ws(", ", *(_text(q) for q in p.preds)), F.lit(")")) if isinstance(p, Or) else _text(p)
         out = F.array_append(out, t)
     return df.withColumn(COND, out)

@@ -17,37 +17,35 @@ def active(tp: DataFrame) -> DataFrame:
 def shortest_paths(tp: DataFrame, pairs: DataFrame, max_hops: int = 1000) -> DataFrame:
     """(fid, src, dst, pv): for each pair the node sequence with fewest links; of several the smallest sequence; [] where there is none.
 
-    Breadth-first search, level by level, from the endpoints of which there are fewer distinct ones. Every level is
-    written to the shared folder. A pair of a node with itself has that one node as its path if the node has a link.
+    Breadth-first search, level by level, from the endpoints of which there are fewer distinct ones. Links go both ways, so
+    what a step finds anew lies in neither of the last two levels. Every level is written to the shared folder; a search whose
+    ends are all found goes no further. A pair of a node with itself has that one node as its path if the node has a link.
     """
     edges = materialize(active(tp), "edges")
     wanted = materialize(pairs.where("src is not null and dst is not null").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct(), "pairs")
     n = wanted.agg(F.count_distinct("src").alias("s"), F.count_distinct("dst").alias("d")).first()
     start, end = ("src", "dst") if n["s"] <= n["d"] else ("dst", "src")
+    left = wanted.select(F.col(start).alias("start"), F.col(end).alias("at"))
     hop = edges.select(F.col("sid").cast("long").alias("at"), F.col("nid").cast("long").alias("to"))
-    nodes = hop.select("at").distinct()
-    level = wanted.select(F.col(start).alias("start")).distinct().join(nodes, F.col("start") == F.col("at"), "left_semi")
+    level = left.select("start").distinct().join(hop, F.col("start") == F.col("at"), "left_semi")
     level = materialize(level.select("start", F.col("start").alias("at"), F.array("start").alias("pv")), "level")
-    seen, left = level, wanted
-    found = None
+    before, found = level.limit(0), None
     for _ in range(max_hops + 1):
-        hit = level.join(left.select(F.col(start).alias("start"), F.col(end).alias("at")), ["start", "at"])
-        got = hit.select(F.col("start").alias(start), F.col("at").alias(end), "pv")
-        found = got if found is None else found.unionByName(got)
-        left = materialize(left.join(got.select("src", "dst"), ["src", "dst"], "left_anti"), "left")
-        if left.isEmpty():
-            break
-        # only searches that still miss an end go on
-        go = level.join(left.select(F.col(start).alias("start")).distinct(), "start", "left_semi")
+        hit = materialize(level.join(left, ["start", "at"]), "hits")
+        found = hit if found is None else found.unionByName(hit)
+        if not hit.isEmpty():
+            left = materialize(left.join(hit, ["start", "at"], "left_anti"), "left")
+            if left.isEmpty():
+                break
+        go = level.join(left.select("start").distinct(), "start", "left_semi")
         step = go.join(hop, "at").select("start", F.col("to").alias("at"), F.concat("pv", F.array("to")).alias("pv") if start == "src" else F.concat(F.array("to"), "pv").alias("pv"))
-        step = step.groupBy("start", "at").agg(F.min("pv").alias("pv")).join(seen.select("start", "at"), ["start", "at"], "left_anti")
-        level = materialize(step, "level")
+        old = level.select("start", "at").unionByName(before.select("start", "at"))
+        before, level = level, materialize(step.groupBy("start", "at").agg(F.min("pv").alias("pv")).join(old, ["start", "at"], "left_anti"), "level")
         if level.isEmpty():
             break
-        seen = materialize(seen.select("start", "at").unionByName(level.select("start", "at")), "seen")
-    all_pairs = pairs.select("fid", "src", "dst")
-    p = found.select(F.col("src").alias("__s"), F.col("dst").alias("__d"), "pv")
-    return all_pairs.join(p, (F.col("src") == F.col("__s")) & (F.col("dst") == F.col("__d")), "left").select("fid", "src", "dst", F.coalesce("pv", F.array().cast("array<bigint>")).alias("pv"))
+    p = found.select(F.col("start").alias("__s" if start == "src" else "__d"), F.col("at").alias("__d" if start == "src" else "__s"), "pv")
+    out = pairs.select("fid", "src", "dst").join(p, (F.col("src") == F.col("__s")) & (F.col("dst") == F.col("__d")), "left")
+    return out.select("fid", "src", "dst", F.coalesce("pv", F.array().cast("array<bigint>")).alias("pv"))
 
 
 def path_triples(paths: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def orphans(refs: DataFrame, spans: DataFrame, row_id: str, fields: list[str], a
         found = src.mapInArrow(run, out)
     else:
         long = src.select("row_id", "at", "period", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"f{i}").alias("key")) for i, f in enumerate(fields)))).alias("x")).select("row_id", "at", "period", "x.field", "x.key").where("key is not null")
-        found = _apart(long, spans, max(8, n // bound * 8))
+        found = _apart(long, spans, max(8, n // max(1, bound) * 8))
     return found.dropDuplicates(["row_id", "field", "period"])
 
 

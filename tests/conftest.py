@@ -7,5 +7,5 @@ from tests.compare import session
 def spark():
     s = session(4)
     s.sparkContext.setLogLevel("ERROR")
-    s.conf.set("spark.sql.shuffle.partitions", "4")
+    s.conf.set("spark.sql.shuffle.partitions", "2")
     return s

@@ -131,5 +131,5 @@ def test_defined_cases(spark, policy1):
     assert rows(c_select(policy1.limit(0), [Pred("dest", "==", "1")])) == []
     assert rows(c_select(policy1, [Or((Pred("dest", "==", "7"), Pred("dest", "==", "1.2.3.4")))], ["dest"])) == [("1.2.3.4", ("x == [ABC]",)), ("y", ("y != 1.2.3.4", "Or(y == 7, y == 1.2.3.4)"))]
     assert len(rows(c_union(policy1, c_project(policy1, ["dest", "path"])))) == 4
-    ints = spark.createDataFrame([(1, "a", ["a == 1"]), (10, "b", [])], "n int, v string, condition array<string>")
+    ints = spark.createDataFrame([(1, "a", ["a == 1"]), (10, "b", None)], "n int, v string, condition array<string>")
     assert [r[0] for r in rows(c_select(ints, [Pred("n", ">", 2)]))] == [10]
