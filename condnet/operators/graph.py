@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from condnet.common import materialize
+from condnet.common import materialize, parts
 
 
 def active(tp: DataFrame) -> DataFrame:
@@ -14,17 +19,105 @@ def active(tp: DataFrame) -> DataFrame:
     return e.union(e.select("nid", "sid")).where("sid is not null and nid is not null and sid <> nid").distinct()
 
 
-def shortest_paths(tp: DataFrame, pairs: DataFrame, max_hops: int = 1000) -> DataFrame:
+#: Directed links (16 bytes each) up to which every task gets the whole graph.
+BOUND = 1_000_000
+
+
+class Links:
+    """All links in compressed rows over node numbers that keep the order of the ids."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.ids = np.unique(np.concatenate([a, b]))
+        u, v = np.searchsorted(self.ids, a), np.searchsorted(self.ids, b)
+        order = np.lexsort((v, u))
+        self.to = v[order]
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(u, minlength=len(self.ids)))])
+
+    def find(self, ids: np.ndarray) -> np.ndarray:
+        """Node numbers, -1 where an id has no link."""
+        if not len(self.ids):
+            return np.full(len(ids), -1)
+        k = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return np.where(self.ids[k] == ids, k, -1)
+
+    def search(self, start: int, ends: np.ndarray, forward: bool, max_hops: int) -> list[np.ndarray]:
+        """The smallest shortest sequence between start and each of the ends (numbers), read from start if forward, else from the end; empty where there is none."""
+        n = len(self.ids)
+        depth, by = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        depth[start] = 0
+        front, missing = np.array([start]), len(np.unique(ends)) - int((ends == start).any())
+        wanted = np.zeros(n, bool)
+        wanted[ends] = True
+        for level in range(1, max_hops + 1):
+            if not len(front) or missing <= 0:
+                break
+            count = self.at[front + 1] - self.at[front]
+            first = np.cumsum(count) - count
+            v = self.to[np.repeat(self.at[front] - first, count) + np.arange(count.sum())]
+            place = np.repeat(np.arange(len(front)), count)  # forward, front is in the order of its sequences
+            new = depth[v] < 0
+            v, place = v[new], place[new]
+            key = place if forward else front[place]
+            order = np.lexsort((key, v))
+            v, place = v[order], place[order]
+            one = np.ones(len(v), bool)
+            one[1:] = v[1:] != v[:-1]
+            v, place = v[one], place[one]
+            depth[v], by[v] = level, front[place]
+            missing -= int(wanted[v].sum())
+            front = v[np.lexsort((v, place))] if forward else v
+        out = []
+        for e in ends.tolist():
+            if depth[e] < 0:
+                out.append(self.ids[:0])
+                continue
+            seq = np.empty(depth[e] + 1, np.int64)
+            for k in range(depth[e] + 1):
+                seq[k] = e
+                e = by[e]
+            out.append(self.ids[seq[::-1] if forward else seq])
+        return out
+
+
+def _near(edges: DataFrame, wanted: DataFrame, start: str, end: str, max_hops: int) -> DataFrame:
+    """Searches in tasks that hold the whole graph; a start's ends are at most as many as the graph's nodes."""
+    spark = edges.sparkSession
+    e = edges.select(F.col("sid").cast("long"), F.col("nid").cast("long")).toArrow()  # at most BOUND links
+    sent = spark.sparkContext.broadcast((e.column(0).to_numpy(), e.column(1).to_numpy()))
+    schema = T.StructType([T.StructField(start, T.LongType()), T.StructField(end, T.LongType()), T.StructField("pv", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = Links(*sent.value)
+        for b in batches:
+            s, t = b.column(0).to_numpy(), b.column(1).to_numpy()
+            ns, nt = links.find(s), links.find(t)
+            pv = [links.ids[:0]] * len(b)
+            known = np.flatnonzero((ns >= 0) & (nt >= 0))
+            known = known[np.argsort(ns[known], kind="stable")]
+            for part in np.split(known, np.flatnonzero(np.diff(ns[known])) + 1) if len(known) else []:
+                for i, p in zip(part, links.search(int(ns[part[0]]), nt[part], start == "src", max_hops)):
+                    pv[i] = p
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pv, pa.list_(pa.int64()))], names=schema.names)
+
+    return wanted.select(start, end).repartition(parts(spark), start).sortWithinPartitions(start).mapInArrow(run, schema)
+
+
+def shortest_paths(tp: DataFrame, pairs: DataFrame, max_hops: int = 1000, bound: int = BOUND) -> DataFrame:
     """(fid, src, dst, pv): for each pair the node sequence with fewest links; of several the smallest sequence; [] where there is none.
 
-    Breadth-first search, level by level, from the endpoints of which there are fewer distinct ones. Links go both ways, so
-    what a step finds anew lies in neither of the last two levels. Every level is written to the shared folder; a search whose
-    ends are all found goes no further. A pair of a node with itself has that one node as its path if the node has a link.
+    Searches start from the endpoints of which there are fewer distinct ones. While the links are at most `bound`, counted first, every
+    task gets them all and searches by itself. Beyond that, breadth-first search goes level by level over tables: links go both
+    ways, so what a step finds anew lies in neither of the last two levels; every level is written to the shared folder, and a
+    search whose ends are all found goes no further. A pair of a node with itself has that one node as its path if the node
+    has a link.
     """
     edges = materialize(active(tp), "edges")
     wanted = materialize(pairs.where("src is not null and dst is not null").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct(), "pairs")
     n = wanted.agg(F.count_distinct("src").alias("s"), F.count_distinct("dst").alias("d")).first()
     start, end = ("src", "dst") if n["s"] <= n["d"] else ("dst", "src")
+    if edges.count() <= bound:
+        p = _near(edges, wanted, start, end, max_hops).select(F.col("src").alias("__s"), F.col("dst").alias("__d"), "pv")
+        return _joined(pairs, p)
     left = wanted.select(F.col(start).alias("start"), F.col(end).alias("at"))
     hop = edges.select(F.col("sid").cast("long").alias("at"), F.col("nid").cast("long").alias("to"))
     level = left.select("start").distinct().join(hop, F.col("start") == F.col("at"), "left_semi")
@@ -44,6 +137,10 @@ def shortest_paths(tp: DataFrame, pairs: DataFrame, max_hops: int = 1000) -> Dat
         if level.isEmpty():
             break
     p = found.select(F.col("start").alias("__s" if start == "src" else "__d"), F.col("at").alias("__d" if start == "src" else "__s"), "pv")
+    return _joined(pairs, p)
+
+
+def _joined(pairs: DataFrame, p: DataFrame) -> DataFrame:
     out = pairs.select("fid", "src", "dst").join(p, (F.col("src") == F.col("__s")) & (F.col("dst") == F.col("__d")), "left")
     return out.select("fid", "src", "dst", F.coalesce("pv", F.array().cast("array<bigint>")).alias("pv"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,16 +47,22 @@ def remove_redundant(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([solver.remove_redundant(_clean(x)) for x in s])
 
 
-@F.pandas_udf(T.StructType([T.StructField("keep", T.BooleanType()), T.StructField("cond", T.ArrayType(T.StringType()))]))
-def _normal(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in it:
-        got = [solver.normalized(_clean(x)) for x in s]
-        yield pd.DataFrame({"keep": [g is not None for g in got], "cond": [list(g or ()) for g in got]})
+_SEP = "\x1f"
+_KIND = pa.struct([("keep", pa.bool_()), ("cond", pa.list_(pa.string()))])
+
+
+@F.arrow_udf(T.StructType([T.StructField("keep", T.BooleanType()), T.StructField("cond", T.ArrayType(T.StringType()))]))
+def _normal(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for a in it:
+        enc = a.dictionary_encode()
+        got = [solver.normalized(tuple(x.split(_SEP))) if x else () for x in enc.dictionary.to_pylist()]
+        solved = pa.array([{"keep": g is not None, "cond": list(g or ())} for g in got], _KIND)
+        yield solved.take(enc.indices)
 
 
 def normalize(df: DataFrame, cond: str = "condition") -> DataFrame:
     """Rows in a fixed order of three rules: contradictions fall away, tautologies get the empty list, redundant conditions are dropped."""
     filled = F.coalesce(F.col(cond), F.array().cast("array<string>"))
-    # an empty list needs no solver, and Python sees the conditions alone
-    out = df.withColumn("__n", F.when(F.size(filled) > 0, _normal(filled)).otherwise(F.struct(F.lit(True).alias("keep"), filled.alias("cond"))))
+    # Python sees each list as one text, and solves the distinct ones
+    out = df.withColumn("__n", _normal(F.coalesce(F.array_join(filled, _SEP), F.lit(""))))
     return out.where(F.col("__n.keep")).withColumn(cond, F.col("__n.cond")).drop("__n")

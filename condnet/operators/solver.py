@@ -224,7 +224,10 @@ def is_tautology(conds: Sequence[str] | None) -> bool:
 
 
 def _dropped(conds: Sequence[str]) -> list[int]:
-    got, ints = _parsed(conds)
+    return _implied(*_parsed(conds))
+
+
+def _implied(got: Sequence[Condition], ints: frozenset[str]) -> list[int]:
     n = len(got)
     imp = [[i != j and (got[i] == got[j] or _implies(got[i], got[j], ints)) for j in range(n)] for i in range(n)]
     return [j for j in range(n) if any(imp[i][j] and (not imp[j][i] or i < j) for i in range(n))]
@@ -243,11 +246,42 @@ def remove_redundant(conds: Sequence[str] | None) -> list[str]:
     return [c for j, c in enumerate(conds) if j not in gone]
 
 
-@lru_cache(maxsize=200_000)
+def _shape(conds: Sequence[str]) -> tuple[tuple[tuple[str, str, str], ...], ...]:
+    """The list with variables, and constants that are only compared for equality, numbered: lists of one shape are decided alike."""
+    got, ints = _parsed(conds)
+    kinds = [[_is_int(a, ints) for a in c] for c in got]
+    exact = any(not i and a.op not in ("==", "!=") for c, ks in zip(got, kinds) for a, i in zip(c, ks))
+    names: dict[str, str] = {}
+    consts: dict[str, str] = {}
+
+    def name(t: str, is_int: bool) -> str:
+        if variable(t):
+            if t not in names:
+                names[t] = f"l(v{len(names)})" if _length(t) else f"v{len(names)}"
+            return names[t]
+        return t if is_int or exact else consts.setdefault(t, f"[{len(consts)}]")
+
+    return tuple(tuple((name(a.left, i), a.op, name(a.right, i)) for a, i in zip(c, ks)) for c, ks in zip(got, kinds))
+
+
+@lru_cache(maxsize=100_000)
+def _kept(shape: tuple[tuple[tuple[str, str, str], ...], ...]) -> tuple[int, ...] | None:
+    """None for a contradiction, () for a tautology, else the places of the conditions to keep."""
+    got = [tuple(Atom(*a) for a in c) for c in shape]
+    ints = integers(got)
+    if not satisfiable(got, ints):
+        return None
+    if all(_valid(c, ints) for c in got):
+        return ()
+    gone = set(_implied(got, ints))
+    return tuple(j for j in range(len(got)) if j not in gone)
+
+
 def normalized(conds: tuple[str, ...]) -> tuple[str, ...] | None:
     """None for a contradiction, () for a tautology, else the list without redundant conditions."""
-    if is_contradiction(conds):
-        return None
-    if is_tautology(conds):
+    if not conds:
         return ()
-    return tuple(remove_redundant(conds))
+    if any(NO_PATH in c for c in conds):
+        return None
+    kept = _kept(_shape(conds))
+    return None if kept is None else tuple(conds[j] for j in kept)

@@ -79,6 +79,19 @@ def test_isp_files(spark, tmp_path):
     assert nodes.count() == 3 and rows(links) == [("1", "2"), ("2", "3")]
 
 
+def test_searches_agree(spark):
+    import random
+
+    rnd = random.Random(6)
+    for nodes, links in ((12, 18), (30, 34)):
+        tp = spark.createDataFrame([(rnd.randint(1, nodes), rnd.randint(1, nodes), rnd.choice([1, 1, 1, 0])) for _ in range(links)], "sid int, nid int, isactive int")
+        for few in (3, nodes):
+            ends = [(i, rnd.randint(1, few), rnd.randint(1, nodes)) for i in range(40)]
+            for turn in (False, True):
+                pairs = spark.createDataFrame([(i, b, a) if turn else (i, a, b) for i, a, b in ends], "fid long, src long, dst long")
+                assert rows(graph.shortest_paths(tp, pairs)) == rows(graph.shortest_paths(tp, pairs, bound=0))
+
+
 def test_paths(spark):
     t = topology.tables(spark, topology.diamond())  # s1..s4 = 1..4, h1 = 5, h2 = 6
     pairs = spark.createDataFrame([(1, 5, 6), (2, 6, 5), (3, 5, 99), (4, 5, 5), (5, None, 6)], "fid long, src long, dst long")
