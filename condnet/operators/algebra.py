@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,9 +118,10 @@ def hops(path: Column) -> Column:
 def c_join_data(left: DataFrame, right: DataFrame, on: list[tuple[str, str, str]], split: bool = True) -> DataFrame:
     """All pairs for which every comparison possibly holds, as columns l_<name> and r_<name>.
 
-    split: by which of the columns compared for equality are variables. The pairs of two such patterns are hash-joined on the
-    columns that are constants on both sides; only patterns without such a column need a nested loop. The patterns are
-    disjoint, so pairs come out once. Without split: one join on the disjunctions (for comparison).
+    split: by which of the columns compared for equality are variables. The patterns that occur are looked up first (a few
+    rows); each two of them are hash-joined on the columns that are constants on both sides, and only patterns without such a
+    column, whose rows all match, need a nested loop. The patterns are disjoint, so pairs come out once. Without split: one
+    join on the disjunctions (for comparison).
     """
     lt = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns))
     rt = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
@@ -136,18 +136,21 @@ def c_join_data(left: DataFrame, right: DataFrame, on: list[tuple[str, str, str]
         return reduce(lambda x, y: x & y, (is_var(s) if v else ~is_var(s) for s, v in zip(sides, bits)))
 
     out = None
-    masks = list(product((False, True), repeat=len(equal)))
-    # right patterns with the same constant columns share a branch: a left pattern's variable columns match anything
-    for m in masks:
+    there = [_patterns(lt, [a for a, _ in equal]), _patterns(rt, [b for _, b in equal])]
+    for m in there[0]:
         l_part = lt.where(pattern([a for a, _ in equal], m))
-        free = [i for i, v in enumerate(m) if not v]
-        for bits in product((False, True), repeat=len(free)):
-            r_part = rt.where(pattern([equal[i][1] for i in free], bits)) if free else rt
-            keys = [equal[i][0] == equal[i][1] for i, v in zip(free, bits) if not v]
+        for n in there[1]:
+            r_part = rt.where(pattern([b for _, b in equal], n))
+            keys = [a == b for (a, b), v, w in zip(equal, m, n) if not v and not w]
             cond = [*keys, *rest]
             j = l_part.join(r_part, reduce(lambda x, y: x & y, cond)) if cond else l_part.crossJoin(r_part)
             out = j if out is None else out.unionByName(j)
-    return out
+    return lt.limit(0).crossJoin(rt.limit(0)) if out is None else out
+
+
+def _patterns(df: DataFrame, sides: list[Column]) -> list[tuple[bool, ...]]:
+    """Which of the columns are variables: the patterns that rows have, at most two to the number of columns."""
+    return sorted(tuple(r) for r in df.select(*(is_var(s).alias(f"v{i}") for i, s in enumerate(sides))).distinct().collect())
 
 
 def c_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str, str]], path_len: bool = False, split: bool = True, solve: bool = True, cols: list[str] | None = None) -> DataFrame:
