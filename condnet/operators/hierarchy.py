@@ -226,6 +226,7 @@ def hierarchy(df: DataFrame, group: str, hops: list[str], full: bool = False, lo
 
     def emit(got: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         t = pa.concat_tables(got)
+        width = t.num_columns - 2
         g = t.column("g").to_numpy()
         cols = [t.column(f"h{i}").combine_chunks() for i in range(width + 1)]
         ok = [c.is_valid().to_numpy(zero_copy_only=False) for c in cols]
@@ -264,10 +265,15 @@ def hierarchy(df: DataFrame, group: str, hops: list[str], full: bool = False, lo
     small = src
     if any_large := not large.isEmpty():
         small = src.join(large, "g", "left_anti")
-    near = small.repartition(parts(spark), "g").sortWithinPartitions("g").mapInArrow(run, schema)
+    solved = lambda rows: rows.repartition(parts(spark), "g").sortWithinPartitions("g").mapInArrow(run, schema)
+    near = solved(small)
     if not any_large:
         return near
     from condnet.operators.hierarchy_far import far
 
+    # a group may be large by repeated links alone: what fits after taking each once is solved in a task, too
     rest = materialize(links(src.join(large, "g", "left_semi"), "g", [f"h{i}" for i in range(width + 1)]).distinct(), "links")
-    return near.unionByName(far(rest, full).select(*schema.names))
+    huge = materialize(rest.groupBy("g").count().where(F.col("count") > local).select("g"), "huge")
+    once = rest.join(huge, "g", "left_anti").select("g", F.col("p").alias("h0"), F.col("c").alias("h1"))
+    out = near.unionByName(solved(once))
+    return out if huge.isEmpty() else out.unionByName(far(rest.join(huge, "g", "left_semi").select("g", "p", "c"), full).select(*schema.names))

@@ -112,7 +112,7 @@ def brute(links):
     return {x: (-1, -1, True) if x in reach(x) else (*best[x][::-1], False) if x in best else (None, None, False) for x in nodes}
 
 
-@pytest.mark.parametrize("local", [10**6, 0])
+@pytest.mark.parametrize("local", [10**6, 8, 0])
 def test_hierarchy(spark, local):
     rnd = random.Random(4 + local)
     data = []
