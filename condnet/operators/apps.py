@@ -41,9 +41,14 @@ class State:
         )
         return State(tp=tp, **(blank | more))
 
-    def written(self) -> State:
-        """The same with every table written to the shared folder."""
-        return replace(self, **{k: materialize(v, k) for k, v in self.__dict__.items() if isinstance(v, DataFrame)})
+    def written(self, since: State | None = None) -> State:
+        """The same with every table, or those that differ from an earlier state's, written to the shared folder."""
+        return replace(self, **{k: materialize(v, k) for k, v in self.__dict__.items() if isinstance(v, DataFrame) and (since is None or v is not getattr(since, k))})
+
+
+def reinit(s: State) -> State:
+    """Everything emptied but the topology; the clock starts again."""
+    return State.start(s.tp.sparkSession, s.tp)
 
 
 # changes of the reachability matrix
@@ -100,6 +105,15 @@ def apply_diff(cf: DataFrame, ins: DataFrame, dele: DataFrame) -> DataFrame:
     return cf.select(*cols).alias("a").join(dele.select(*cols).alias("b"), same, "left_anti").union(ins.select(*cols))
 
 
+def refuse_updates(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Forwarding rows may come and go, not change in place: after, or an error if a row that stays (by fid, pid, sid) leads elsewhere."""
+    key = ["fid", "pid", "sid"]
+    b, a = (x.groupBy(*key).agg(F.sort_array(F.collect_set("nid")).alias(n)) for x, n in ((before, "b"), (after, "a")))
+    if not b.join(a, key).where((F.size("a") == F.size("b")) & (F.col("a") != F.col("b"))).isEmpty():
+        raise ValueError("forwarding rows can't be updated; delete and insert them")
+    return after
+
+
 # firewall
 
 
@@ -286,7 +300,7 @@ class Orchestrator:
 
     def run(self, s: State) -> State:
         for n in self.order():
-            s = self.known[n].repair(s).written()
+            s = self.known[n].repair(s).written(since=s)
         return replace(s, clock=s.clock + 1)
 
     def after(self, s: State) -> State:

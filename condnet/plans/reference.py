@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condnet.common import materialize, table
+from condnet.common import materialize, shared_dir, table
 from condnet.operators import apps, graph, normalize, routing
 from condnet.operators.algebra import Or, Pred, c_condition, c_data, c_join, c_join_data, c_project, c_select, c_union, hops
-from condnet.operators.predicates import SQL_NAMES, is_var, possibly
+from condnet.operators.predicates import SQL_NAMES, is_var, possibly, register
 from condnet.operators.sqlfront import query
 from condnet.plans.encodings import duck, spark_table
 from condnet.sources import topology
 from condnet.sources.text import synthetic_routes, watch
+from condnet.streaming.changes import net_change_of_stream
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -591,3 +595,29 @@ def limit_watch(spark: SparkSession, d: str) -> DataFrame:
 def addresses(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sid"))
     return s.select("sid", topology.default_dpid(F.concat(F.lit("s"), "sid")).alias("dpid"), topology.host_ip(F.col("sid")).alias("ip"))
+
+
+_MATRIX = ORACLE["predicate_matrix"]
+
+
+@_add(_MATRIX)
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The comparisons as SQL functions."""
+    register(spark)
+    calls = ", ".join(f"{name}(a, b) AS {name}" for name in SQL_NAMES)
+    text = f"""
+      SELECT id, {calls} FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'v1' WHEN o_orderkey % 7 = 1 THEN NULL ELSE CAST(o_custkey % 13 AS STRING) END AS a,
+        CASE WHEN o_orderkey % 11 = 0 THEN 'w' ELSE CAST(o_orderkey % 13 AS STRING) END AS b FROM {{orders}})"""
+    return spark.sql(text, orders=table(spark, d, "orders"))
+
+
+@_add(ORACLE["rm_net_change"])
+def stream_net_change(spark: SparkSession, d: str) -> DataFrame:
+    """The log of changes as a stream: each micro-batch adds its flows' state to a table, which is merged at the end."""
+    schema = table(spark, d, "events").schema
+    path = f"{d}/events.parquet"
+    stream = spark.readStream.schema(schema)
+    stream = stream.parquet(path) if os.path.isdir(path) else stream.option("pathGlobFilter", "events.parquet").parquet(d)
+    kind = F.when(F.col("event_type").isin("error", "purchase"), 0).otherwise(1)
+    log = stream.select(F.col("event_id").alias("seq"), F.col("user_id").alias("fid"), (F.col("user_id") + 2000000).alias("src"), (F.col("event_id") % 10 + 1000000).alias("dst"), kind.alias("isadd"))
+    return net_change_of_stream(log, f"{shared_dir(spark)}/condnet-stream-{uuid.uuid4().hex}")

@@ -97,3 +97,15 @@ def demo(spark: SparkSession) -> dict[str, DataFrame]:
     }
 
 
+
+
+def load(df: DataFrame, path: str) -> DataFrame:
+    """Replace the table at a path by df, and read it back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def output(df: DataFrame, name: str = "output") -> DataFrame:
+    """Keep a result as the view of a name, replaced by the next one."""
+    df.createOrReplaceTempView(name)
+    return df

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from condnet.operators.apps import Orchestrator, State, delete_flows, insert_flows
@@ -29,3 +30,21 @@ class Controller:
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).start()
+
+
+def net_change_of_stream(log: DataFrame, folder: str) -> DataFrame:
+    """What a stream of additions and deletions (seq, fid, src, dst, isadd) leaves to do per flow, once it has been read to its present end.
+
+    Every micro-batch is reduced to one row a flow and written under its own number, so one that is delivered again replaces
+    itself; the rows of all batches are merged by the same rule.
+    """
+    last = F.max(F.when(F.col("isadd") == 0, F.col("seq"))).alias("last_del")
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        rows.groupBy("fid").agg(last, F.max("seq").alias("seq"), F.max_by(F.struct("src", "dst", "isadd"), "seq").alias("x")).write.mode("overwrite").parquet(f"{folder}/rows/batch={epoch}")
+
+    q = log.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    q.awaitTermination()
+    per = log.sparkSession.read.parquet(f"{folder}/rows").groupBy("fid").agg(F.max("last_del").alias("last_del"), F.max_by("x", "seq").alias("x"))
+    added = F.col("x.isadd") == 1
+    return per.select("fid", F.col("last_del").isNotNull().alias("deleted"), added.alias("added"), F.when(added, F.col("x.src")).alias("src"), F.when(added, F.col("x.dst")).alias("dst"))

@@ -224,3 +224,25 @@ def test_topology_messages(spark):
     b = spark.createDataFrame([(1, 2, 0), (2, 1, 1), (5, 6, 1)], "sid int, nid int, isactive int")
     assert rows(apps.topology_messages(a, b, ["sid", "nid"])) == [("add", 5, 6, 1), ("change", 1, 2, 0), ("del", 3, 4, None)]
     assert rows(apps.latest(spark.createDataFrame([(1, 1), (1, 2)], "k int, o int"), ["k"], "o")) == [(1, 2)]
+
+
+def test_state_and_sinks(spark, tmp_path):
+    t = topology.tables(spark, topology.single(3))
+    s = apps.reinit(apps.add_flow(apps.State.start(spark, t["tp"], clock=4), 2, 3))
+    assert (s.rm.count(), s.delta.count(), s.clock, s.tp.count()) == (0, 0, 0, 6)
+    cf = spark.createDataFrame([(1, 5, 1, 2), (1, 1, 2, 6)], "fid long, pid long, sid long, nid long")
+    assert apps.refuse_updates(cf, cf.limit(1)).count() == 1
+    with pytest.raises(ValueError):
+        apps.refuse_updates(cf, cf.withColumn("nid", F.col("nid") + 1))
+    for k in (1, 2):
+        assert text.load(cf.limit(k), str(tmp_path / "cf")).count() == k
+    text.output(cf)
+    assert spark.table("output").count() == 2
+    o = apps.Orchestrator()
+    o.load("rt", "fw")
+    o.unload("fw")
+    assert o.order() == ["rt"]
+    o.reset()
+    assert o.order() == [] and o.run(s).clock == 1
+    with pytest.raises(ValueError):
+        o.load("nothing")
