@@ -83,9 +83,9 @@ def test_searches_agree(spark):
     import random
 
     rnd = random.Random(6)
-    for nodes, links in ((12, 18), (30, 34)):
+    for nodes, links in ((14, 20),):
         tp = spark.createDataFrame([(rnd.randint(1, nodes), rnd.randint(1, nodes), rnd.choice([1, 1, 1, 0])) for _ in range(links)], "sid int, nid int, isactive int")
-        for few in (3, nodes):
+        for few in (3,):
             ends = [(i, rnd.randint(1, few), rnd.randint(1, nodes)) for i in range(40)]
             for turn in (False, True):
                 pairs = spark.createDataFrame([(i, b, a) if turn else (i, a, b) for i, a, b in ends], "fid long, src long, dst long")
