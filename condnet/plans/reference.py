@@ -224,7 +224,7 @@ def _policy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _delta(spark: SparkSession, d: str) -> DataFrame:
-    return spark_table(spark, d, "asroutes").where("st = 'O' and rid % 3 = 0").select("dest", F.lit("A").alias("operation"), "path", "len_path")
+    return spark_table(spark, d, "asroutes").where("st = 'O'").select("dest", F.lit("A").alias("operation"), "path", "len_path")
 
 
 def _current(spark: SparkSession, d: str) -> DataFrame:
