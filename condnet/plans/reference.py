@@ -184,7 +184,7 @@ def c_norm_redundant(spark: SparkSession, d: str) -> DataFrame:
 
 @_add(f"SELECT id, (id % 6 IN (0, 1, 2, 3) AND NOT ({_BAD} AND id % 6 = 4)) AS redundant FROM {_LISTS} WHERE id % 6 IN (3, 4, 5)")
 def c_has_redundant(spark: SparkSession, d: str) -> DataFrame:
-    return _lists(spark, d).where("id % 6 in (3, 4, 5)").select("id", normalize.has_redundant("condition").alias("redundant"))
+    return _lists(spark, d).select("id", normalize.has_redundant("condition").alias("redundant"))
 
 
 @_add(f"SELECT 'policy' AS tab, {_var('dest')} AS dest_var, {_var('path')} AS path_var, count(*) AS n FROM {_P} GROUP BY ALL UNION ALL SELECT 'routes', {_var('dest')}, {_var('path')}, count(*) FROM {_R} GROUP BY ALL")

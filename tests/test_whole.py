@@ -36,3 +36,21 @@ def test_all_announcements_are_read(spark, tmp_path):
     best = [(dest, p) for dest, p, _ in cand if dest in short and len(p.split()) <= short[dest]]
     assert rows(QUERIES["bgp_best_routes"](spark, d).select("dest", "path", "condition")) == sorted(((dest, var[dest], f"l({var[dest]}) == {len(p.split())}; {var[dest]} == {p}") for dest, p in best), key=str)
     assert rows(QUERIES["c_extend_values"](spark, d).select("dest", "path")) == sorted(best, key=str)
+
+
+def test_redundancy_is_decided_for_all_lists(spark, tmp_path):
+    data = [(k, c, "O") for k in range(6) for c in range(15)]
+    d = orders(spark, tmp_path, [(6 * i + k, c, st) for i, (k, c, st) in enumerate(data)])
+    values = [*"01234", "9"]
+    want = []
+    for i, (k, c, _) in enumerate(data):
+        x, y, z = (str(c % m) for m in (5, 3, 2))
+        # worlds (x, y) in which each condition holds
+        holds = {
+            0: [lambda a, b: a == x, lambda a, b: a == y], 1: [lambda a, b: a == x, lambda a, b: a != y], 2: [lambda a, b: z == "1", lambda a, b: True],
+            3: [lambda a, b: a != "1", lambda a, b: b != y, lambda a, b: a != "1"], 4: [lambda a, b: False], 5: [],
+        }[k]
+        worlds = [{(a, b) for a in values for b in values if h(a, b)} for h in holds]
+        want.append((6 * i + k, any(p <= q for m, p in enumerate(worlds) for n, q in enumerate(worlds) if m != n)))
+    got = rows(QUERIES["c_has_redundant"](spark, d))
+    assert len(got) == 90 and got == sorted(want, key=str)
