@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 #: Where the public tokenizers' files lie on every machine.
 TOKENIZERS = "/opt/tokenizers"
 #: Characters of a leaf; first size of a border window; pieces that are remembered, and how long they may be.
-LEAF, WINDOW, PIECES, PIECE = 1 << 16, 64, 300_000, 40
+LEAF, WINDOW, PIECES, PIECE = 1 << 10, 64, 300_000, 40
 
 # Fixed value: the pre-tokenizing pattern that belongs to the byte-level vocabularies.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
