@@ -3,20 +3,17 @@
 Two theories share no terms. Integers: terms of a `<=` comparison, lengths `l(...)`, and what is compared with them, decided by
 difference bounds (no negative cycle). Strings: everything else, decided by merging equal terms, closing the order graph
 (constants in code-point order, '' the least) and looking for a strict cycle. Disjunctions, and `!=` between integers, are
-split into cases; beyond `CASES` cases a list counts as satisfiable, which keeps the row. Likewise kept: a string
-that would have to lie between two neighbours in the order.
+searched with backtracking, however many there are: a partial choice that contradicts itself goes no further. Kept as
+satisfiable: a string that would have to lie between two neighbours in the order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 from functools import lru_cache
-from itertools import product
 
 from condnet.operators.conditions import NO_PATH, Atom, Condition, parse, variable
 
-CASES = 4096
-
 
 def _number(term: str) -> int | None:
     t = term.strip()
@@ -162,10 +159,9 @@ def _ground(a: Atom, as_int: bool) -> bool | None:
     return {"==": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[a.op]
 
 
-def _cases(conds: Sequence[Condition], ints: frozenset[str]) -> Iterator[tuple[list[Atom], list[Atom]]] | None:
-    """The conjunctions of integer and string atoms of which one must hold; None if there are too many."""
+def _choices(conds: Sequence[Condition], ints: frozenset[str]) -> list[list[tuple[Atom, bool]]]:
+    """For each condition that isn't valid by itself the atoms, marked as of integers or not, of which one must hold."""
     choices: list[list[tuple[Atom, bool]]] = []
-    n = 1
     for c in conds:
         options: list[tuple[Atom, bool]] = []
         valid = False
@@ -177,18 +173,60 @@ def _cases(conds: Sequence[Condition], ints: frozenset[str]) -> Iterator[tuple[l
                 break
             if g is None:
                 options += [(Atom(a.left, "<", a.right), True), (Atom(a.left, ">", a.right), True)] if i and a.op == "!=" else [(a, i)]
-        if valid:
-            continue
-        choices.append(options)
-        n *= len(options)
-        if n > CASES:
-            return None
-    return (([a for a, i in pick if i], [a for a, i in pick if not i]) for pick in product(*choices))
+        if not valid:
+            choices.append(options)
+    return choices
+
+
+def _apart(choices: list[list[tuple[Atom, bool]]]) -> list[list[list[tuple[Atom, bool]]]]:
+    """The choices in sets that share no variable."""
+    sets: list[tuple[set[str], list[list[tuple[Atom, bool]]]]] = []
+    for c in choices:
+        names, mine = {t for a, _ in c for t in (a.left, a.right) if variable(t)}, [c]
+        rest = []
+        for n, m in sets:
+            if n & names:
+                names, mine = n | names, m + mine
+            else:
+                rest.append((n, m))
+        sets = [*rest, (names, mine)]
+    return [m for _, m in sets]
 
 
 def satisfiable(conds: Sequence[Condition], ints: frozenset[str]) -> bool:
-    cases = _cases(conds, ints)
-    return cases is None or any(_int_sat(i) and _str_sat(s) for i, s in cases)
+    return all(map(_search, _apart(_choices(conds, ints))))
+
+
+def _search(first: list[list[tuple[Atom, bool]]]) -> bool:
+    """Depth-first: each step drops the options that contradict what is picked and picks for the choice with fewest left."""
+
+    def fits(picked: tuple[tuple[Atom, bool], ...], i: bool) -> bool:
+        mine = [a for a, k in picked if k == i]
+        return _int_sat(mine) if i else _str_sat(mine)
+
+    sure = tuple(c[0] for c in first if len(c) == 1)
+    if not all(first) or not fits(sure, True) or not fits(sure, False):
+        return False
+    todo = [(sure, [c for c in first if len(c) > 1])]
+    while todo:
+        picked, choices = todo.pop()
+        while True:
+            left = [[o for o in c if fits((*picked, o), o[1])] for c in choices]
+            if not all(left):
+                break
+            forced = [c[0] for c in left if len(c) == 1]
+            choices = [c for c in left if len(c) > 1]
+            if not forced:
+                if not choices:
+                    return True
+                at = min(range(len(choices)), key=lambda k: len(choices[k]))
+                rest = choices[:at] + choices[at + 1 :]
+                todo += [((*picked, o), rest) for o in reversed(choices[at])]
+                break
+            picked = (*picked, *forced)
+            if not fits(picked, True) or not fits(picked, False):
+                break
+    return False
 
 
 def _implies(p: Condition, q: Condition, ints: frozenset[str]) -> bool:
