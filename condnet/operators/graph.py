@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ class Links:
         k = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
         return np.where(self.ids[k] == ids, k, -1)
 
-    def search(self, start: int, ends: np.ndarray, forward: bool, max_hops: int) -> list[np.ndarray]:
+    def search(self, start: int, ends: np.ndarray, forward: bool, max_hops: int | None) -> list[np.ndarray]:
         """The smallest shortest sequence between start and each of the ends (numbers), read from start if forward, else from the end; empty where there is none."""
         n = len(self.ids)
         depth, by = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
@@ -48,13 +49,13 @@ class Links:
         front, missing = np.array([start]), len(np.unique(ends)) - int((ends == start).any())
         wanted = np.zeros(n, bool)
         wanted[ends] = True
-        for level in range(1, max_hops + 1):
+        for level in islice(count(1), max_hops):
             if not len(front) or missing <= 0:
                 break
-            count = self.at[front + 1] - self.at[front]
-            first = np.cumsum(count) - count
-            v = self.to[np.repeat(self.at[front] - first, count) + np.arange(count.sum())]
-            place = np.repeat(np.arange(len(front)), count)  # forward, front is in the order of its sequences
+            width = self.at[front + 1] - self.at[front]
+            first = np.cumsum(width) - width
+            v = self.to[np.repeat(self.at[front] - first, width) + np.arange(width.sum())]
+            place = np.repeat(np.arange(len(front)), width)  # forward, front is in the order of its sequences
             new = depth[v] < 0
             v, place = v[new], place[new]
             key = place if forward else front[place]
@@ -79,7 +80,7 @@ class Links:
         return out
 
 
-def _near(edges: DataFrame, wanted: DataFrame, start: str, end: str, max_hops: int) -> DataFrame:
+def _near(edges: DataFrame, wanted: DataFrame, start: str, end: str, max_hops: int | None) -> DataFrame:
     """Searches in tasks that hold the whole graph; a start's ends are at most as many as the graph's nodes."""
     spark = edges.sparkSession
     e = edges.select(F.col("sid").cast("long"), F.col("nid").cast("long")).toArrow()  # at most BOUND links
@@ -102,9 +103,11 @@ def _near(edges: DataFrame, wanted: DataFrame, start: str, end: str, max_hops: i
     return wanted.select(start, end).repartition(parts(spark), start).sortWithinPartitions(start).mapInArrow(run, schema)
 
 
-def shortest_paths(tp: DataFrame, pairs: DataFrame, max_hops: int = 1000, bound: int = BOUND) -> DataFrame:
+def shortest_paths(tp: DataFrame, pairs: DataFrame, max_hops: int | None = None, bound: int = BOUND) -> DataFrame:
     """(fid, src, dst, pv): for each pair the node sequence with fewest links; of several the smallest sequence; [] where there is none.
 
+    max_hops: farther ends count as unreachable; by default the search goes on until nothing new is found.
+
     Searches start from the endpoints of which there are fewer distinct ones. While the links are at most `bound`, counted first, every
     task gets them all and searches by itself. Beyond that, breadth-first search goes level by level over tables: links go both
     ways, so what a step finds anew lies in neither of the last two levels; every level is written to the shared folder, and a
@@ -123,7 +126,7 @@ def shortest_paths(tp: DataFrame, pairs: DataFrame, max_hops: int = 1000, bound:
     level = left.select("start").distinct().join(hop, F.col("start") == F.col("at"), "left_semi")
     level = materialize(level.select("start", F.col("start").alias("at"), F.array("start").alias("pv")), "level")
     before, found = level.limit(0), None
-    for _ in range(max_hops + 1):
+    for _ in islice(count(), None if max_hops is None else max_hops + 1):
         hit = materialize(level.join(left, ["start", "at"]), "hits")
         found = hit if found is None else found.unionByName(hit)
         if not hit.isEmpty():

@@ -54,3 +54,17 @@ def test_redundancy_is_decided_for_all_lists(spark, tmp_path):
         want.append((6 * i + k, any(p <= q for m, p in enumerate(worlds) for n, q in enumerate(worlds) if m != n)))
     got = rows(QUERIES["c_has_redundant"](spark, d))
     assert len(got) == 90 and got == sorted(want, key=str)
+
+
+def test_paths_of_any_length(spark, tmp_path):
+    from condnet.operators import graph
+
+    tp = spark.range(1200).selectExpr("id as sid", "id + 1 as nid", "1 as isactive")
+    pairs = spark.createDataFrame([(1, 0, 1200), (2, 1200, 0), (3, 0, 9999)], "fid long, src long, dst long")
+    assert {r.fid: r.pv for r in graph.shortest_paths(tp, pairs).collect()} == {1: [*range(1201)], 2: [*range(1200, -1, -1)], 3: []}
+    assert [len(r.pv) for r in graph.shortest_paths(tp, pairs, max_hops=3).collect()] == [0, 0, 0]
+    near = spark.createDataFrame([(1, 0, 3), (2, 0, 4)], "fid long, src long, dst long")
+    assert rows(graph.shortest_paths(tp, near, max_hops=3, bound=0).select("fid", "pv")) == [(1, [0, 1, 2, 3]), (2, [])]
+    # supplier k shares part k with the next one; supplier 9 shares none
+    spark.createDataFrame([(s, p) for s in range(1, 5) for p in (s - 1, s)] + [(9, 99)], "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert rows(QUERIES["sp_hops_bfs"](spark, str(tmp_path))) == [(1000001, 0), (1000002, 2), (1000003, 4), (1000004, 6)]
