@@ -121,7 +121,7 @@ def c_select_int(spark: SparkSession, d: str) -> DataFrame:
 @_add(f"SELECT dest, array_to_string(list_sort(CASE WHEN {_var('path')} THEN list_append(condition, 'l(' || path || ') <= 3') ELSE list_append(condition, path || ' <= 3') END), '; ') AS condition FROM {_P} WHERE {_var('path')}")
 def c_select_length(spark: SparkSession, d: str) -> DataFrame:
     """A length comparison doesn't filter; it joins the conditions and is left to the solver."""
-    p = spark_table(spark, d, "policy_ct").where(is_var(F.col("path"))).withColumn("len", F.concat(F.lit("l("), "path", F.lit(")")))
+    p = spark_table(spark, d, "policy_ct").withColumn("len", F.concat(F.lit("l("), "path", F.lit(")")))
     return _flat(c_select(p, [Pred("len", "<=", 3, deferred=True)], ["dest"]))
 
 

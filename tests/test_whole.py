@@ -68,3 +68,13 @@ def test_paths_of_any_length(spark, tmp_path):
     # supplier k shares part k with the next one; supplier 9 shares none
     spark.createDataFrame([(s, p) for s in range(1, 5) for p in (s - 1, s)] + [(9, 99)], "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert rows(QUERIES["sp_hops_bfs"](spark, str(tmp_path))) == [(1000001, 0), (1000002, 2), (1000003, 4), (1000004, 6)]
+
+
+def test_length_selection_keeps_constant_paths(spark, tmp_path):
+    spark.createDataFrame([(2, 1), (3, 1), (4, 1), (7, 1), (9, 2)], "s_suppkey long, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert rows(QUERIES["c_select_length"](spark, str(tmp_path))) == sorted(
+        [
+            ("10.0.1.0/24", "l(x2) <= 3; x2 != [FURNITURE]; x2 != [MACHINERY]"), ("10.0.1.0/24", "l(x4) <= 3; x4 == [BUILDING]"), ("10.0.1.0/24", "l([BUILDING]) <= 3"),
+            ("d7", "d7 != 10.0.3.0/24; l([BUILDING]) <= 3"), ("10.0.2.0/24", "l([BUILDING]) <= 3"),
+        ], key=str,
+    )
