@@ -454,7 +454,7 @@ def _acl(spark: SparkSession, d: str) -> DataFrame:
 
 @_add(f"SELECT end1, end2, 1 AS allow FROM {_ACL} UNION ALL SELECT DISTINCT dst, src, 1 FROM {_RM} WHERE fid % 2 = 0 AND src IN (SELECT uid FROM {_USERS}) AND (src, dst) NOT IN (SELECT end2, end1 FROM {_ACL})")
 def fw_learn(spark: SparkSession, d: str) -> DataFrame:
-    return apps.learn(_acl(spark, d), _users(spark, d), spark_table(spark, d, "rm").where("fid % 2 = 0"))
+    return apps.learn(_acl(spark, d), _users(spark, d), spark_table(spark, d, "rm"))
 
 
 _BACK = f"(SELECT DISTINCT dst AS end1, src AS end2 FROM {_RM})"

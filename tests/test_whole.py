@@ -78,3 +78,13 @@ def test_length_selection_keeps_constant_paths(spark, tmp_path):
             ("d7", "d7 != 10.0.3.0/24; l([BUILDING]) <= 3"), ("10.0.2.0/24", "l([BUILDING]) <= 3"),
         ], key=str,
     )
+
+
+def test_all_flows_are_learned_from(spark, tmp_path):
+    data = [(k, k % 7, "O") for k in range(1, 80)]
+    d = orders(spark, tmp_path, data)
+    spark.createDataFrame([(c,) for c in range(7)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    flows = {(c + 2000000, k % 10 + 1000000) for k, c, _ in data}
+    acl = {(c + 2000000, k % 10 + 1000000) for k, c, _ in data if k % 5 == 0}
+    learned = {(b, a) for a, b in flows if (a - 2000000) % 3 == 0} - acl
+    assert rows(QUERIES["fw_learn"](spark, d)) == sorted(((a, b, 1) for a, b in [*acl, *learned]), key=str)
