@@ -2,8 +2,8 @@
 
 Method: after separating cycles, every node hangs below the root that reaches it in the fewest links; subtree sizes label
 heavy chains; in heavy-first order a chain is one interval, so a node's path is its chain segments put together (at most
-log2(n) of them) and its descendants are one interval behind it. Groups (flows) that fit a task are solved many at a time in
-numpy; a group with more than `LOCAL` links is solved by distributed rounds with the same result.
+log2(n) of them) and its descendants are one interval behind it, given in ascending order. Groups (flows) that fit a task
+are solved many at a time in numpy; a group with more than `LOCAL` links is solved by distributed rounds with the same result.
 
 Defined cases: links with a null end or group are no links; repeated links count once; a link to itself is a cycle; a root
 has a link out and none in; among roots at equal distance the smallest id counts, then the smallest parent; nodes that no
@@ -196,7 +196,9 @@ def solve(grp: np.ndarray, par: np.ndarray, child: np.ndarray, full: bool) -> di
         out["path"] = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(vals))
         below = np.where(depth >= 0, size - 1, 0)
         offs = np.concatenate([[0], np.cumsum(below)])
-        out["descendants"] = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(name[order[_expand(tin + 1, below)]]))
+        vals = name[order[_expand(tin + 1, below)]]
+        vals = vals[np.lexsort((vals, np.repeat(np.arange(n), below)))]
+        out["descendants"] = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(vals))
     return out
 
 
