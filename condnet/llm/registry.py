@@ -10,21 +10,26 @@ from condnet.llm.mixing import counted, mix, shares
 from condnet.llm.runs import as_number, event_runs, packed_runs
 from condnet.llm.subjects import areas
 from condnet.llm.tokens import decode, encode
-from condnet.llm.topn import top_n
-from condnet.operators.packed import PATH, once
+from condnet.llm.topn import bounds, nearest, ranked, within
+from condnet.operators.packed import PATH
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     routes = table(spark, d, "routes").where("min_len >= 0").select(dest_key("dest").alias("dest"), "rid", "min_len", "path").where("dest is not null")
     best = table(spark, d, "current_best_routes").select(dest_key("dest").alias("dest"), "path", F.lit(0).alias("other")).where("dest is not null and path is not null").distinct()
-    # joined by (dest, path): the copies of a heavy dest spread over its paths
-    c = routes.join(best, ["dest", "path"], "left")
-    top = top_n(c, F.col("dest"), [F.col("min_len"), F.coalesce("other", F.lit(1))], F.col("rid"), 3)
+    # bounds by length alone, as the other scores come after it
+    dest, length, rid = F.col("dest"), F.col("min_len"), F.col("rid")
+    left = within(routes, dest, [length], bounds(routes, dest, [length], rid, 3))
+    # of one path of a dest only the three best can be among the dest's: a partition hands on no more, however many copies there are
+    left = nearest(left, ["dest", "path"], ["min_len"], "rid", 3)
+    top = ranked(left.join(best, ["dest", "path"], "left"), dest, [length, F.coalesce("other", F.lit(1))], rid, 3)
     return top.select(F.col("g").alias("dest"), F.col("i").alias("rid"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return packed_runs(once(table(spark, d, "routes"), "rid", "path"), "rid", "path", PATH, as_number).withColumnRenamed("row_id", "rid")
+    # runs first, so that rows delivered again are told by their few runs, not by their paths
+    runs = packed_runs(table(spark, d, "routes"), "rid", "path", PATH, as_number)
+    return runs.groupBy(F.col("row_id").alias("rid"), "first_pos").agg(F.max("run_len").alias("run_len"))
 
 
 def p2_event_runs(spark: SparkSession, d: str) -> DataFrame:
