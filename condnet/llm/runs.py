@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,67 +70,61 @@ def packed_runs(df: DataFrame, row_id: str, value: str, how: Packing, same: Call
     return src.where("v is not null").mapInArrow(go, out)
 
 
-def event_runs(df: DataFrame, entity: str, order: str, event: str, row_id: str, chunks: int | None = None) -> DataFrame:
-    """(entity, event, first_at, last_at, events): runs of equal neighbours by (order, row_id) within an entity; order is a timestamp or number, its unit that of last_at - first_at."""
+def event_runs(df: DataFrame, entity: str, order: str, event: str, row_id: str, chunks: int | None = None, same: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(entity, event, first_at, last_at, events): runs of equal neighbours by (order, row_id) within an entity; order is a timestamp or number, its unit that of last_at - first_at.
+
+    same: what near-identical events are mapped to; neighbours mapped to one value are one run, shown by its first event.
+    """
     spark = df.sparkSession
-    src = df.select(F.col(entity).alias("e"), F.col(order).alias("o"), F.col(row_id).alias("r"), F.col(event).cast("string").alias("v")).where("e is not null and o is not null").dropDuplicates(["e", "o", "r"])
+    shown = F.col(event).cast("string")
+    src = df.select(F.col(entity).alias("e"), F.col(order).alias("o"), F.col(row_id).alias("r"), shown.alias("v"), (same(shown) if same else shown).cast("string").alias("k")).where("e is not null and o is not null").dropDuplicates(["e", "o", "r"])
     kind = src.schema
-    out = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("edge", T.BooleanType()), kind["e"], kind["v"], T.StructField("first_at", kind["o"].dataType), T.StructField("last_at", kind["o"].dataType), T.StructField("n", T.LongType())])
+    out = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("edge", T.BooleanType()), kind["e"], kind["v"], kind["k"], T.StructField("first_at", kind["o"].dataType), T.StructField("last_at", kind["o"].dataType), T.StructField("n", T.LongType())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId()
-        seq, held = 0, None  # held: the last run so far, still open
+        seq, held, leading = 0, None, True  # held: the last run so far, a table of one row, still open
 
-        def rows(runs: list[dict], edge: bool) -> pa.RecordBatch:
+        def rows(runs: pa.Table, edge: bool) -> Iterator[pa.RecordBatch]:
             nonlocal seq
-            data = {"chunk": pa.array([chunk] * len(runs), pa.int32()), "seq": pa.array(range(seq, seq + len(runs)), pa.int64()), "edge": pa.array([edge] * len(runs))}
-            for c, t in (("e", None), ("v", None), ("first_at", None), ("last_at", None)):
-                data[c] = pa.array([x[c] for x in runs], types[c])
-            data["n"] = pa.array([x["n"] for x in runs], pa.int64())
-            seq += len(runs)
-            return pa.RecordBatch.from_pydict(data)
-
-        types: dict = {}
-        leading = True
+            n = len(runs)
+            head = {"chunk": pa.array(np.full(n, chunk, np.int32)), "seq": pa.array(np.arange(seq, seq + n)), "edge": pa.array(np.full(n, edge))}
+            seq += n
+            yield from pa.table(head | {c: runs.column(c) for c in runs.schema.names}).combine_chunks().to_batches()
+
         for b in batches:
             if not len(b):
                 continue
-            e, o, v = b.column(0), b.column(1), b.column(3)
-            types = types or {"e": e.type, "v": v.type, "first_at": o.type, "last_at": o.type}
+            e, o, v, k = (b.column(i) for i in (0, 1, 3, 4))
             ec = e.dictionary_encode().indices.to_numpy()
-            vc = v.dictionary_encode(null_encoding="encode").indices.to_numpy()
-            code = ec.astype(np.int64) * (int(vc.max()) + 1) + vc
+            kc = k.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            code = ec.astype(np.int64) * (int(kc.max()) + 1) + kc
             _, first, size = run_table(np.array([0, len(code)]), code)
-            at = first - 1
-            last = at + size - 1
-            te, tv, tf, tl = (x.take(pa.array(i)).to_pylist() for x, i in ((e, at), (v, at), (o, at), (o, last)))
-            runs = [{"e": te[i], "v": tv[i], "first_at": tf[i], "last_at": tl[i], "n": int(size[i])} for i in range(len(at))]
-            if held is not None and held["e"] == runs[0]["e"] and held["v"] == runs[0]["v"]:
-                held["last_at"], held["n"] = runs[0]["last_at"], held["n"] + runs[0]["n"]
-                runs = runs[1:]
-            if runs:
-                if held is not None:
-                    yield rows([held], leading)
-                    leading = False
-                if len(runs) > 1:
-                    if leading:
-                        yield rows(runs[:1], True)
-                        leading = False
-                        runs = runs[1:]
-                    if len(runs) > 1:
-                        yield rows(runs[:-1], False)
-                held = runs[-1]
+            at, last = pa.array(first - 1), pa.array(first - 2 + size)
+            runs = pa.table({"e": e.take(at), "v": v.take(at), "k": k.take(at), "first_at": o.take(at), "last_at": o.take(last), "n": pa.array(size, pa.int64())})
+            if held is not None:
+                if all(held.column(c)[0].as_py() == runs.column(c)[0].as_py() for c in ("e", "k")):
+                    held = held.set_column(4, "last_at", runs.column("last_at").slice(0, 1)).set_column(5, "n", pa.array([held.column("n")[0].as_py() + int(size[0])], pa.int64()))
+                    runs = runs.slice(1)
+                runs = pa.concat_tables([held, runs])
+            # the first and the last run of a chunk may go on in its neighbours
+            if leading and len(runs) > 1:
+                yield from rows(runs.slice(0, 1), True)
+                runs, leading = runs.slice(1), False
+            if len(runs) > 1:
+                yield from rows(runs.slice(0, len(runs) - 1), False)
+            held = runs.slice(len(runs) - 1)
         if held is not None:
-            yield rows([held], True)
+            yield from rows(held, True)
 
     # written, as it is read twice and each execution would draw other range borders
     got = materialize(src.repartitionByRange(chunks or parts(spark), "e", "o", "r").sortWithinPartitions("e", "o", "r").mapInArrow(go, out), "runs")
     inner = got.where("not edge").select("e", "v", "first_at", "last_at", "n")
     # at most two border runs per chunk: those of one entity that follow one another with the same event are one run
     w = Window.partitionBy("e").orderBy("chunk", "seq")
-    edges = got.where("edge").withColumn("gap", F.coalesce(F.lag("v").over(w).eqNullSafe(F.col("v")) & ((F.lag("chunk").over(w) < F.col("chunk"))), F.lit(False)))
+    edges = got.where("edge").withColumn("gap", F.coalesce(F.lag("k").over(w).eqNullSafe(F.col("k")) & ((F.lag("chunk").over(w) < F.col("chunk"))), F.lit(False)))
     edges = edges.withColumn("run", F.sum(F.when(F.col("gap"), 0).otherwise(1)).over(w))
-    joined = edges.groupBy("e", "run").agg(F.first("v").alias("v"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("n").alias("n")).drop("run")
+    joined = edges.groupBy("e", "run").agg(F.min_by("v", F.struct("chunk", "seq")).alias("v"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("n").alias("n")).drop("run")
     return inner.unionByName(joined).select(F.col("e").alias(entity), F.col("v").alias(event), "first_at", "last_at", F.col("n").alias("events"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from condnet.llm import mixing, subjects, tokens
 from condnet.llm.runs import as_number, event_runs, packed_runs
-from condnet.llm.topn import top_n
+from condnet.llm.topn import bounds, nearest, top_n, within
 from condnet.operators.packed import PATH
 
 
@@ -68,6 +68,26 @@ def test_event_runs(spark, chunks):
     assert rows(event_runs(df, "e", "seq", "n", "chunk", chunks)) == sorted(want, key=str)
 
 
+def test_near_identical_events(spark):
+    data = [(1, 1, 1, "Ping"), (1, 2, 2, "ping "), (1, 3, 3, "PING"), (1, 4, 4, "pong"), (1, 5, 5, None), (1, 6, 6, None), (2, 1, 7, "ping")]
+    df = spark.createDataFrame(data, "e int, t int, id int, v string")
+    for chunks in (1, 4):
+        got = rows(event_runs(df, "e", "t", "v", "id", chunks, same=lambda c: F.lower(F.trim(c))))
+        assert got == sorted([(1, "Ping", 1, 3, 3), (1, "pong", 4, 4, 1), (1, None, 5, 6, 2), (2, "ping", 1, 1, 1)], key=str)
+
+
+def test_bounds_leave_ties_in(spark):
+    data = [("hot", 5, i) for i in range(400)] + [("hot", 1, 1000), ("hot", 4, 1001), (None, 4, 2)] + [(None, 1, 1), ("x" * 300, 9, 7), ("b", None, 8)]
+    df = spark.createDataFrame(data, "g string, s int, i int").repartition(3)
+    args = F.col("g"), [F.col("s")], F.col("i")
+    b = bounds(df, *args, 2)
+    assert b.where("g = 'hot'").first()["bound"][0] in (4, 5)
+    assert within(df.where("g is not null"), *args[:2], b.where("bound.s0 = 5")).count() >= 404
+    assert rows(top_n(df, *args, 2).select("g", "i")) == sorted([("hot", 1001), ("hot", 1000), ("x" * 300, 7), ("b", 8)], key=str)
+    once = nearest(df.where("s is not null").withColumn("p", F.col("s") % 2), ["g", "p"], ["s"], "i", 1)
+    assert 1 <= once.where("g = 'hot' and p = 1").count() <= df.rdd.getNumPartitions()
+
+
 # tokens
 
 
