@@ -1,12 +1,15 @@
 """Subject areas of documents, by mined class-association rules.
 
 Method: rules {words} -> subject are mined by parallel frequent-pattern growth. Items are counted in parallel over all
-documents; the items of every input split grow in the split's own pattern tree, whose partial counts are summed by pattern, so no
-task ever holds a class's documents. A rule's confidence is calibrated (smoothed, and as if all subjects were equally
-frequent); growth stops at nearly certain items, and longer rules that hardly improve on their parts are pruned as
-redundant. The first rules come from the labelled examples, whose words cover the subjects only in part; they label the
-documents that they are sure of, and rules are mined anew over examples and all documents, twice. Every document is then scored by the
-evidence of the rules that match it, each word through its best rule.
+documents. Every input split grows its documents' items into pattern trees of its own (of at most `TREE` items each), whose
+conditional bases give the partial counts of longer patterns, summed by pattern over all trees: no task ever holds a class's
+documents. A rule's confidence is calibrated (smoothed, as if all subjects were equally frequent, and for a longer pattern drawn
+to that of its best part as by `PRIOR` more documents, so that a few documents prove little). Patterns grow from any
+part that isn't nearly certain (`CERTAIN`) and that, if it has several words, tops its own parts by `IMPROVE`; a longer rule that
+doesn't top every part of it by `IMPROVE` is redundant and pruned. So a rule has as many words as improve it, at most 1 / IMPROVE.
+The first rules come from the labelled examples, whose words cover the subjects only in part; they label the documents that they
+are sure of, and rules are mined anew over examples and all documents, twice. Every document is then scored by the evidence of
+the rules that match it, each word through its best rule.
 
 Parameters: an item needs `SUPPORT` of the labelled documents and at least 4 of them, so there are at most (mean number of distinct
 words of a document) / SUPPORT rule items; a document's subject needs `SHARE` of its evidence and `DENSITY` of its words.
@@ -19,7 +22,6 @@ letters, cut at the humps of mixed-case names, in lower case. Extra columns are
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,13 +34,17 @@ from pyspark.sql import types as T
 
 from condnet.common import materialize
 
-SUPPORT, CONFIDENCE, PAIR_CONFIDENCE, CERTAIN, IMPROVE, SMOOTH = 2e-4, 0.6, 0.8, 0.9, 0.1, 0.1
+#: Of rules of one word and of several; smoothing of counts per class; documents for which the best part of a longer pattern speaks.
+SUPPORT, CONFIDENCE, LONG_CONFIDENCE, CERTAIN, IMPROVE, SMOOTH, PRIOR = 2e-4, 0.6, 0.8, 0.9, 0.1, 0.1, 10
 #: A document labels rules where one subject has this share of at least so many matches.
 SURE, MATCHES = 0.9, 5
 #: Evidence for a subject: its share, its words of all words, its words at least; what lies within STRETCH names of a longer text is a passing line; a text has so many subjects at most.
 SHARE, DENSITY, LEAST, STRETCH, MOST = 0.2, 0.006, 2, 16, 2
 
-_RUN = re.compile(r"[^\W\d_]+")
+#: Bytes of text cut into words at a time; items of one pattern tree; nodes of a conditional base at a time.
+SLICE, TREE, ROWS = 4 << 20, 2_000_000, 1 << 16
+
+_NO_NAME = r"[^\p{L}\p{No}\p{Nl}]+"
 _HUMPS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^A-Z]+")
 
 
@@ -53,22 +59,33 @@ class _Parts(dict):
         return got
 
 
-def words(text: str, parts: _Parts) -> dict[str, list[int]]:
-    """Each word's number of occurrences, and its first and last place among the names of the text."""
-    names = _RUN.findall(text)
-    k = len(names)
-    last = dict(zip(names, range(k)))
-    first = dict(zip(reversed(names), range(k - 1, -1, -1)))
-    out: dict[str, list[int]] = {}
-    for name, n in Counter(names).items():
-        f, z = first[name], last[name]
-        for w in parts[name]:
-            if (x := out.get(w)) is None:
-                out[w] = [n, f, z]
-            else:
-                x[0] += n
-                x[1], x[2] = min(x[1], f), max(x[2], z)
-    return out
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All numbers first[i] .. first[i] + count[i] - 1."""
+    ends = np.cumsum(count)
+    return np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def words(texts: pa.Array, parts: _Parts) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of each text: (text, word, number of occurrences, first and last place among the names of the text), in the order of texts."""
+    lists = pc.split_pattern_regex(texts, pattern=_NO_NAME)
+    doc, flat = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
+    some = pc.greater(pc.binary_length(flat), 0)
+    doc, names = doc[some.to_numpy(zero_copy_only=False)], flat.filter(some).dictionary_encode()
+    own = np.searchsorted(doc, np.arange(len(texts)))  # each text's first name
+    place = np.arange(len(doc)) - own[doc]
+    cut = [parts[n] for n in names.dictionary.to_pylist()]
+    vocabulary = pa.array([w for c in cut for w in c], pa.string()).dictionary_encode()
+    width = np.fromiter(map(len, cut), np.int64, len(cut))
+    at = np.cumsum(width) - width
+    code = names.indices.to_numpy()
+    word = vocabulary.indices.to_numpy()[_spread(at[code], width[code])]
+    doc, place = np.repeat(doc, width[code]), np.repeat(place, width[code])
+    key = doc * np.int64(max(1, len(vocabulary.dictionary))) + word
+    order = np.argsort(key, kind="stable")  # places ascend within a word
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(key)) - 1 if len(key) else first
+    return doc[order[first]], vocabulary.dictionary.take(pa.array(word[order[first]])), last - first + 1, place[order[first]], place[order[last]]
 
 
 def bags(df: DataFrame, row_id: str, text: str, keep: list[str] = []) -> DataFrame:  # noqa: B006
@@ -78,28 +95,53 @@ def bags(df: DataFrame, row_id: str, text: str, keep: list[str] = []) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = _Parts()
-        for b in batches:
-            got = [words(x, parts) for x in b.column(b.num_columns - 1).to_pylist()]
-            some = pa.array([bool(c) for c in got])
-            cols = [c.filter(some) for c in b.columns[:-1]]
-            got = [c for c in got if c]
-            cols.append(pa.array([list(c) for c in got], pa.list_(pa.string())))
-            offs = cols[-1].offsets
-            facts = np.array([x for c in got for x in c.values()], np.int32).reshape(-1, 3)
-            cols += [pa.ListArray.from_arrays(offs, pa.array(np.ascontiguousarray(facts[:, k]))) for k in range(3)]
-            at = offs.to_numpy()
-            cols.append(pa.array(np.concatenate([[0], np.cumsum(facts[:, 0], dtype=np.int64)])[at[1:]] - np.concatenate([[0], np.cumsum(facts[:, 0], dtype=np.int64)])[at[:-1]], pa.int64()))
-            yield pa.RecordBatch.from_arrays(cols, names=out.names)
+        for whole in batches:
+            size = np.cumsum(pc.binary_length(whole.column(whole.num_columns - 1)).fill_null(0).to_numpy())
+            edges = [0, *(np.flatnonzero(np.diff(size // SLICE)) + 1).tolist(), len(whole)]
+            for a, z in zip(edges, edges[1:]):
+                b = whole.slice(a, z - a)
+                doc, word, *facts = words(b.column(b.num_columns - 1), parts)
+                some = np.unique(doc)
+                offs = pa.array(np.append(np.searchsorted(doc, some), len(doc)).astype(np.int32))
+                cols = [c.take(pa.array(some)) for c in b.columns[:-1]]
+                cols += [pa.ListArray.from_arrays(offs, word), *(pa.ListArray.from_arrays(offs, pa.array(f.astype(np.int32))) for f in facts)]
+                cols.append(pa.array(np.bincount(doc, facts[0], len(b))[some].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays(cols, names=out.names)
 
     return src.mapInArrow(run, out)
 
 
 @dataclass
 class Rules:
-    """Rules by their words: (class, calibrated confidence)."""
+    """Rules by their words, in alphabetical order: (class, calibrated confidence)."""
 
     single: dict[str, tuple[int, float]] = field(default_factory=dict)
-    pair: dict[tuple[str, str], tuple[int, float]] = field(default_factory=dict)
+    longer: dict[tuple[str, ...], tuple[int, float]] = field(default_factory=dict)
+
+    def arrays(self, classes: int) -> _Arrays:
+        names = sorted({*self.single, *(w for ws in self.longer for w in ws)})
+        number = {w: i for i, w in enumerate(names)}
+        cls, weight = np.full(len(names), -1, np.int64), np.zeros(len(names))
+        for w, (c, conf) in self.single.items():
+            cls[number[w]], weight[number[w]] = c, _weight(conf, classes)
+        rules = sorted(self.longer)
+        of = np.full((len(rules), max(map(len, rules), default=0)), -1, np.int64)
+        for i, ws in enumerate(rules):
+            of[i, : len(ws)] = [number[w] for w in ws]
+        got = [self.longer[r] for r in rules]
+        return _Arrays(pa.array(names, pa.string()), cls, weight, of, np.array([c for c, _ in got], np.int64), np.array([_weight(f, classes) for _, f in got]))
+
+
+@dataclass
+class _Arrays:
+    """Rules as arrays: the words of all rules; class and weight of each as a rule by itself (-1: none); the words of each longer rule (-1: no more); their classes and weights."""
+
+    words: pa.Array
+    cls: np.ndarray
+    weight: np.ndarray
+    longer: np.ndarray
+    longer_cls: np.ndarray
+    longer_weight: np.ndarray
 
 
 def _weight(confidence: float, classes: int) -> float:
@@ -119,28 +161,23 @@ class _Batch:
         self.count, self.first, self.last = (pc.list_flatten(b.column(b.schema.get_field_index(c))).to_numpy() for c in ("counts", "first", "last"))
         self.docs = len(b)
 
-    def evidence(self, rules: Rules, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def evidence(self, r: _Arrays, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per document and class: weighted and plain number of word occurrences that match, each by the word's best rule, and the stretch of text they lie in."""
-        cls = np.full(len(self.names), -1, np.int64)
-        wt = np.zeros(len(self.names))
-        in_pair = np.zeros(len(self.names), bool)
-        pair_words = {w for p in rules.pair for w in p}
-        for i, w in enumerate(self.names.to_pylist()):
-            if r := rules.single.get(w):
-                cls[i], wt[i] = r[0], _weight(r[1], classes)
-            in_pair[i] = w in pair_words
-        kind, weight, count = cls[self.code], wt[self.code], self.count
-        if in_pair.any():
-            at = np.flatnonzero(in_pair[self.code])
+        found = pc.index_in(self.names, value_set=r.words).fill_null(-1).to_numpy()
+        w = found[self.code] if len(found) else np.zeros(0, np.int64)
+        cls, wt = np.append(r.cls, -1), np.append(r.weight, 0.0)  # at -1: no rule
+        kind, weight, count = cls[w], wt[w], self.count
+        at, rule, n = self._longer(r, w)
+        if len(at):
+            # a word's best longer rule counts if it beats the word by itself
+            order = np.lexsort((-rule, r.longer_weight[rule], at))
+            at, rule, n = at[order], rule[order], n[order]
+            best = np.append(at[1:] != at[:-1], True)
+            at, rule, n = at[best], rule[best], n[best]
+            best = r.longer_weight[rule] > weight[at]
+            at, rule, n = at[best], rule[best], n[best]
             count = count.copy()
-            names = self.names.take(pa.array(self.code[at])).to_pylist()
-            edges = np.flatnonzero(np.append(True, self.doc[at][1:] != self.doc[at][:-1])) if len(at) else []
-            for a, z in zip(edges, np.append(edges[1:], len(at)).astype(np.int64)):
-                for i in range(a, z):
-                    for j in range(a, z):
-                        if i != j and (r := rules.pair.get(tuple(sorted((names[i], names[j]))))):
-                            if (w := _weight(r[1], classes)) > weight[at[i]]:
-                                kind[at[i]], weight[at[i]], count[at[i]] = r[0], w, min(self.count[at[i]], self.count[at[j]])
+            kind[at], weight[at], count[at] = r.longer_cls[rule], r.longer_weight[rule], n
         ok = kind >= 0
         cell = self.doc[ok] * classes + kind[ok]
         size = self.docs * classes
@@ -151,7 +188,36 @@ class _Batch:
         stretch = np.where(high >= 0, high - np.minimum(low, high), 0)
         return np.bincount(cell, count[ok] * weight[ok], size).reshape(shape), np.bincount(cell, count[ok], size).reshape(shape), stretch.reshape(shape)
 
-    def sure(self, rules: Rules, classes: int) -> np.ndarray:
+    def _longer(self, r: _Arrays, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of a word, longer rule, occurrences): where all words of a rule stand in a document; occurrences are those of its rarest word there."""
+        none = np.zeros(0, np.int64)
+        used = np.zeros(len(r.words) + 1, bool)
+        used[r.longer[r.longer >= 0]] = True
+        at = np.flatnonzero(used[w]) if len(r.longer) else none
+        if not len(at):
+            return none, none, none
+        here, size = w[at], np.int64(len(r.words))
+        often = np.append(np.bincount(here, minlength=size), len(w) + 1)
+        first = r.longer[np.arange(len(r.longer)), often[r.longer].argmin(1)]  # each rule's rarest word of the batch
+        by_word = at[np.argsort(here, kind="stable")]
+        start = np.cumsum(often[:-1]) - often[:-1]
+        rule = np.repeat(np.arange(len(first)), often[first])
+        doc = self.doc[by_word[_spread(start[first], often[first])]]
+        key = self.doc[at] * size + here
+        order = np.argsort(key)
+        key = key[order]
+        places = []
+        for j in range(r.longer.shape[1]):
+            word = r.longer[rule, j]
+            k = np.minimum(np.searchsorted(key, doc * size + word), len(key) - 1)
+            there = (word < 0) | (key[k] == doc * size + word)
+            places.append(np.where(word < 0, -1, at[order[k]]))
+            rule, doc, places = rule[there], doc[there], [p[there] for p in places]
+        n = np.min([np.where(p < 0, np.iinfo(np.int64).max, self.count[p]) for p in places], axis=0)
+        ok = [p >= 0 for p in places]
+        return np.concatenate([p[o] for p, o in zip(places, ok)]), np.concatenate([rule[o] for o in ok]), np.concatenate([n[o] for o in ok])
+
+    def sure(self, rules: _Arrays, classes: int) -> np.ndarray:
         """The class of each document that the rules are sure of, else -1."""
         e, n, _ = self.evidence(rules, classes)
         best = e.argmax(1)
@@ -159,6 +225,84 @@ class _Batch:
         return np.where((n[rows, best] >= MATCHES) & (e[rows, best] >= SURE * e.sum(1)), best, -1)
 
 
+class _Tree:
+    """A pattern tree: documents' items, most frequent first, share their prefixes; each node has the documents of each class that pass it."""
+
+    def __init__(self, doc: np.ndarray, item: np.ndarray, tally: np.ndarray):
+        """item: ascending within a document, documents in order; tally: documents by classes."""
+        n, wide = len(tally), np.int64(item.max() + 1) if len(item) else 1
+        length = np.bincount(doc, minlength=n)
+        start = np.cumsum(length) - length
+        at, parent, items, levels, total = np.zeros(n, np.int64), [np.array([-1])], [np.array([-1])], [], 1
+        for k in range(length.max() if n else 0):
+            alive = np.flatnonzero(length > k)
+            key, to = np.unique(at[alive] * wide + item[start[alive] + k], return_inverse=True)
+            parent.append(key // wide)
+            items.append(key % wide)
+            at[alive] = total + to
+            levels.append((total, total + len(key)))
+            total += len(key)
+        self.parent, self.item = np.concatenate(parent), np.concatenate(items)
+        self.tally = np.zeros((total, tally.shape[1]), np.int64)
+        np.add.at(self.tally, at, tally)
+        for a, z in reversed(levels):
+            np.add.at(self.tally, self.parent[a:z], self.tally[a:z])
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(pairs of items, documents by class): every two items that stand on one branch."""
+        classes = self.tally.shape[1]
+        node, cls = np.nonzero(self.tally[1:])
+        node += 1
+        wide = self.item.max() + 1
+        keys, counts, up = [], [], self.parent[node]
+        while len(node):
+            go = up > 0
+            node, cls, up = node[go], cls[go], up[go]
+            key, to = np.unique((self.item[up] * wide + self.item[node]) * classes + cls, return_inverse=True)
+            keys.append(key)
+            counts.append(np.bincount(to, self.tally[node, cls], len(key)))
+            up = self.parent[up]
+        if not keys:
+            return np.zeros((0, 2), np.int64), np.zeros((0, classes), np.int64)
+        key, to = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(to, np.concatenate(counts), len(key)).astype(np.int64)
+        pair, to = np.unique(key // classes, return_inverse=True)
+        out = np.zeros((len(pair), classes), np.int64)
+        out[to, key % classes] = n
+        return np.stack([pair // wide, pair % wide], 1), out
+
+    def grow(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(those of the patterns that occur, documents by class), counted in the conditional base of each pattern's last item. patterns: rows of as many items, ascending."""
+        sets, counts = [], []
+        for item in np.intersect1d(patterns[:, -1], self.item):
+            mine = patterns[patterns[:, -1] == item]
+            kept = np.unique(mine[:, :-1])
+            column = np.full(int(max(kept[-1], self.item.max())) + 1, -1)
+            column[kept] = np.arange(len(kept))
+            mine = mine[np.lexsort(mine.T[::-1])]
+            total = np.zeros((len(mine), self.tally.shape[1]), np.int64)
+            nodes = np.flatnonzero(self.item == item)
+            for at in range(0, len(nodes), ROWS):
+                node = nodes[at : at + ROWS]
+                base = np.zeros((len(kept), len(node)), bool)  # which of the other items stand above each node
+                up, k = self.parent[node], np.arange(len(node))
+                while len(k):
+                    go = up > 0
+                    up, k = up[go], k[go]
+                    c = column[self.item[up]]
+                    base[c[c >= 0], k[c >= 0]] = True
+                    up = self.parent[up]
+                tally, last, here = self.tally[node], None, None
+                for i, p in enumerate(column[mine[:, :-1]]):
+                    if last is None or (p[:-1] != last).any():  # neighbours share all but one
+                        last, here = p[:-1], np.flatnonzero(np.logical_and.reduce(base[p[:-1]]))
+                    total[i] += tally[here[base[p[-1]][here]]].sum(0)
+            some = total.any(1)
+            sets.append(mine[some])
+            counts.append(total[some])
+        return (np.concatenate(sets), np.concatenate(counts)) if sets else (patterns[:0], self.tally[:0])
+
+
 def _confidence(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Calibrated confidence per class of patterns with these counts per class."""
     rate = (counts + SMOOTH) / np.maximum(sizes, 1)
@@ -166,10 +310,10 @@ def _confidence(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return rate / rate.sum(1, keepdims=True)
 
 
-def mine(bagged: DataFrame, classes: int, rules: Rules | None, pairs: bool, least: int = 4) -> Rules:
+def mine(bagged: DataFrame, classes: int, rules: Rules | None, longer: bool, least: int = 4) -> Rules:
     """Rules from bags with a label, and (with rules) from those without that the rules are sure of."""
     spark = bagged.sparkSession
-    sent = spark.sparkContext.broadcast(rules)
+    sent = spark.sparkContext.broadcast(rules.arrays(classes) if rules else None)
     at = bagged.schema.names.index("label")
 
     def labels(b: pa.RecordBatch, x: _Batch) -> np.ndarray:
@@ -200,77 +344,98 @@ def mine(bagged: DataFrame, classes: int, rules: Rules | None, pairs: bool, leas
         return Rules()
     sizes = np.array([head[0][c] for c in cols], np.int64)
     support = max(least, int(np.ceil(SUPPORT * sizes.sum())))
+    frequent = F.greatest(*cols) >= support if classes > 1 else F.col(cols[0]) >= support
     # at most (mean distinct words of a document) / SUPPORT items
-    got = items.where(F.greatest(*cols) >= support if classes > 1 else F.col(cols[0]) >= support).where("w <> ''").toPandas()
+    got = items.where(frequent).where("w <> ''").toPandas()
     names = got["w"].tolist()
     counts = got[cols].to_numpy(np.int64).reshape(-1, classes)
     conf = _confidence(counts, sizes)
     best = conf.argmax(1) if len(conf) else np.zeros(0, np.int64)
     out = Rules()
-    growing: dict[str, tuple[int, float]] = {}
+    growing: dict[str, int] = {}
     for i, w in enumerate(names):
         c = conf[i, best[i]]
         if c >= CONFIDENCE and counts[i, best[i]] >= support:
             out.single[w] = (int(best[i]), float(c))
         if 1.9 / (classes + 1) <= c < CERTAIN:  # tells something, but not all
-            growing[w] = (int(counts[i].sum()), float(c))
-    if not pairs or not growing:
+            growing[w] = i
+    if not longer or len(growing) < 2:
         return out
-    rank = {w: k for k, w in enumerate(sorted(growing, key=lambda w: (-growing[w][0], w)))}
-    order = spark.sparkContext.broadcast(rank)
-    paired = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), *(T.StructField(c, T.LongType()) for c in cols)])
+    words_ = sorted(growing, key=lambda w: (-counts[growing[w]].sum(), w))  # rank to word, most frequent first
+    # confidences per class of the patterns known so far, by their items' ranks
+    known: dict[tuple[int, ...], np.ndarray] = {(k,): conf[growing[w]] for k, w in enumerate(words_)}
+    order = spark.sparkContext.broadcast(pa.array(words_, pa.string()))
+    kept = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("items", T.ArrayType(T.IntegerType()))])
 
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = order.value
-        back = sorted(rank, key=rank.get)
+    def transactions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _Batch(b)
             y = labels(b, x)
-            code = np.array([rank.get(w, -1) for w in x.names.to_pylist()], np.int64)
-            r = code[x.code] if len(code) else code
+            rank = pc.index_in(x.names, value_set=order.value).fill_null(-1).to_numpy()
+            r = rank[x.code] if len(rank) else np.zeros(0, np.int64)
             ok = (r >= 0) & (y[x.doc] >= 0)
             r, doc = r[ok], x.doc[ok]
             o = np.lexsort((r, doc))
-            r, doc = r[o].tolist(), doc[o].tolist()
-            # the pattern tree: documents' items, most frequent first, share their prefixes
-            child: dict[tuple[int, int], int] = {}
-            item, parent, tally = [-1], [-1], [Counter()]
-            at, last = 0, -1
-            for d, i in zip(doc, r):
-                if d != last:
-                    at, last = 0, d
-                nxt = child.get((at, i))
-                if nxt is None:
-                    nxt = child[at, i] = len(item)
-                    item.append(i)
-                    parent.append(at)
-                    tally.append(Counter())
-                at = nxt
-                tally[at][int(y[d])] += 1
-            found: dict[tuple[int, int], Counter] = {}
-            for k in range(1, len(item)):
-                p = parent[k]
-                while p > 0:
-                    found.setdefault((item[p], item[k]), Counter()).update(tally[k])
-                    p = parent[p]
-            if found:
-                keys = list(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([back[a] for a, _ in keys]), pa.array([back[z] for _, z in keys]), *(pa.array([found[k][c] for k in keys], pa.int64()) for c in range(classes))], names=paired.names
-                )
-
-    two = bagged.mapInArrow(grow, paired).groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in cols))
-    # pairs with support: at most (mean growing items of a document)^2 / SUPPORT
-    two = two.where(F.greatest(*cols) >= support if classes > 1 else F.col(cols[0]) >= support).toPandas()
-    counts = two[cols].to_numpy(np.int64).reshape(-1, classes)
-    conf = _confidence(counts, sizes)
-    for i, (a, b) in enumerate(zip(two["a"], two["b"])):
-        k = int(conf[i].argmax())
-        c = float(conf[i, k])
-        parts = max((out.single[w][1] for w in (a, b) if w in out.single and out.single[w][0] == k), default=0.0)
-        base = max(growing[a][1], growing[b][1]) if parts == 0 else parts
-        if c >= PAIR_CONFIDENCE and counts[i, k] >= support and c >= base + IMPROVE:
-            out.pair[tuple(sorted((a, b)))] = (k, c)
+            doc, first = np.unique(doc[o], return_index=True)
+            offs = np.append(first, len(r)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(y[doc], pa.int32()), pa.ListArray.from_arrays(pa.array(offs), pa.array(r[o].astype(np.int32)))], names=kept.names)
+
+    rows = materialize(bagged.mapInArrow(transactions, kept).where(F.size("items") > 1), "transactions")
+    grown = T.StructType([T.StructField("items", T.ArrayType(T.IntegerType())), *(T.StructField(c, T.LongType()) for c in cols)])
+
+    def level(wanted: np.ndarray | None) -> dict[tuple[int, ...], np.ndarray]:
+        """The frequent ones of the wanted patterns, or of all pairs, with their documents by class."""
+        asked = spark.sparkContext.broadcast(wanted)
+
+        def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[_Tree]:
+            got, size = [], 0
+            for b in [*batches, None]:
+                if b is not None and len(b):
+                    got.append(b)
+                    size += len(pc.list_flatten(b.column(1)))
+                if got and (b is None or size >= TREE):
+                    t = pa.Table.from_batches(got).combine_chunks()
+                    lists = t.column(1).combine_chunks()
+                    one = np.zeros((len(t), classes), np.int64)
+                    one[np.arange(len(t)), t.column(0).to_numpy()] = 1
+                    yield _Tree(pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).to_numpy().astype(np.int64), one)
+                    got, size = [], 0
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for tree in trees(batches):
+                sets, n = tree.pairs() if asked.value is None else tree.grow(asked.value)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * sets.shape[1]), pa.array(sets.ravel().astype(np.int32)))
+                if len(lists):
+                    yield pa.RecordBatch.from_arrays([lists, *(pa.array(np.ascontiguousarray(c)) for c in n.T)], names=grown.names)
+
+        total = rows.mapInArrow(run, grown).groupBy("items").agg(*(F.sum(c).alias(c) for c in cols))
+        # patterns with support: at most (patterns of a document) / SUPPORT
+        got = total.where(frequent).toPandas()
+        return dict(zip(map(tuple, got["items"]), got[cols].to_numpy(np.int64)))
+
+    found = level(None)
+    pairs = set(found)
+    while found:
+        sets = list(found)
+        n = np.array([found[p] for p in sets]).reshape(-1, classes)
+        c = _confidence(n, sizes)
+        known |= dict(zip(sets, c))
+        grows = []
+        for i, p in enumerate(sets):
+            k = int(c[i].argmax())
+            parts = [known.get(q) for q in (p[:j] + p[j + 1 :] for j in range(len(p)))]
+            base = max(float(q[k]) for q in parts if q is not None)
+            docs = int(n[i].sum())
+            sure = (docs * float(c[i, k]) + PRIOR * base) / (docs + PRIOR)
+            if sure < base + IMPROVE:
+                continue
+            if sure >= LONG_CONFIDENCE and n[i, k] >= support:
+                out.longer[tuple(sorted(words_[j] for j in p))] = (k, sure)
+            if sure < CERTAIN:
+                grows.append(p)
+        # what grows takes any item that is frequent with each of its own
+        more = {tuple(sorted((*p, j))) for p in grows for j in range(len(words_)) if j not in p and all(tuple(sorted((i, j))) in pairs for i in p)}
+        found = level(np.array(sorted(more), np.int64)) if more else {}
     return out
 
 
@@ -279,13 +444,13 @@ def learn(bagged: DataFrame, examples: DataFrame, subjects: list[str], rounds: i
     at = F.create_map(*(x for i, s in enumerate(subjects) for x in (F.lit(s), F.lit(i)))) if subjects else F.lit(None)
     labelled = bags(examples.where("subject is not null").withColumn("label", at[F.col("subject")].cast("long")).where("label is not null"), "example_id", "text", ["label"])
     labelled = materialize(labelled, "examples")
-    rules = mine(labelled, len(subjects), None, pairs=True, least=3)
+    rules = mine(labelled, len(subjects), None, longer=True, least=3)
     cols = ["words", "counts", "first", "last"]
     both = bagged.select(F.lit(None).cast("long").alias("label"), *cols).unionByName(labelled.select("label", *cols))
     for k in range(rounds):
         if not rules.single:
             break
-        rules = mine(both, len(subjects), rules, pairs=k == rounds - 1)
+        rules = mine(both, len(subjects), rules, longer=k == rounds - 1)
     return rules
 
 
@@ -297,7 +462,7 @@ def areas(docs: DataFrame, examples: DataFrame, listed: DataFrame, row_id: str =
     if not subjects:
         return docs.sparkSession.createDataFrame([], out)
     bagged = materialize(bags(src, row_id, text), "bags")
-    rules = docs.sparkSession.sparkContext.broadcast(learn(bagged, examples, subjects))
+    rules = docs.sparkSession.sparkContext.broadcast(learn(bagged, examples, subjects).arrays(len(subjects)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

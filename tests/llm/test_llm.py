@@ -3,10 +3,11 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
-from itertools import groupby, product
+from itertools import combinations, groupby, product
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,18 +220,63 @@ def test_subjects_held_out(spark):
     assert subjects.areas(df, examples, listed.limit(0)).count() == 0
 
 
-def test_pair_rules(spark):
-    """Words that say nothing alone but a lot together make a rule; what a single word says already makes no longer one."""
+def test_longer_rules(spark):
+    """Words that say nothing alone but a lot together make a rule, of any length; what a part of it already says makes no longer one."""
     data = [(i, 0, "red round sure") for i in range(30)] + [(100 + i, 1, "red flat other") for i in range(30)] + [(200 + i, 2, "blue round third") for i in range(30)]
     df = spark.createDataFrame(data, "example_id long, label long, text string")
-    r = subjects.mine(subjects.bags(df, "example_id", "text", ["label"]), 3, None, pairs=True)
+    r = subjects.mine(subjects.bags(df, "example_id", "text", ["label"]), 3, None, longer=True)
     assert {w: v[0] for w, v in r.single.items()} == {"sure": 0, "other": 1, "third": 2, "flat": 1, "blue": 2}
-    assert {p: v[0] for p, v in r.pair.items()} == {("red", "round"): 0}
+    assert {p: v[0] for p, v in r.longer.items()} == {("red", "round"): 0}
+    # three words of which any two stand in both classes
+    three = [(i, 0, "one two six") for i in range(60)] + [(100 * k + i, 1, t) for k, t in ((1, "one two"), (2, "one six"), (3, "two six"), (4, "none")) for i in range(60)]
+    df = spark.createDataFrame(three, "example_id long, label long, text string").repartition(3)
+    r = subjects.mine(subjects.bags(df, "example_id", "text", ["label"]), 2, None, longer=True)
+    assert {p: v[0] for p, v in r.longer.items()} == {("one", "six", "two"): 0}
+    # a few documents prove little
+    few = [(i, i % 2, "mild warm" if i % 2 else "mild" if i % 4 else "warm") for i in range(12)]
+    df = spark.createDataFrame(few, "example_id long, label long, text string")
+    assert not subjects.mine(subjects.bags(df, "example_id", "text", ["label"]), 2, None, longer=True).longer
+
+
+def test_pattern_trees():
+    rnd = random.Random(4)
+    docs = [sorted(rnd.sample(range(9), rnd.randint(0, 6))) for _ in range(300)]
+    docs += [[0, 1, 2, 3]] * 20
+    cls = [rnd.randrange(3) for _ in docs]
+    flat = np.array([i for d in docs for i in d])
+    one = np.zeros((len(docs), 3), np.int64)
+    one[np.arange(len(docs)), cls] = 1
+    tree = subjects._Tree(np.repeat(np.arange(len(docs)), [len(d) for d in docs]), flat, one)
+
+    def brute(p):
+        return [sum(set(p) <= set(d) and c == k for d, c in zip(docs, cls)) for k in range(3)]
+
+    sets, n = tree.pairs()
+    assert {tuple(s): list(c) for s, c in zip(sets.tolist(), n.tolist())} == {p: brute(p) for p in combinations(range(9), 2) if any(brute(p))}
+    for size in (2, 3, 4):
+        asked = np.array([p for p in combinations(range(10), size) if sum(p) % 3])
+        sets, n = tree.grow(asked)
+        assert {tuple(s): list(c) for s, c in zip(sets.tolist(), n.tolist())} == {p: brute(p) for p in map(tuple, asked.tolist()) if any(brute(p))}
+    none = subjects._Tree(flat[:0], flat[:0], one[:0])
+    assert not len(none.pairs()[0]) and not len(none.grow(np.array([[0, 1, 2]]))[0])
+
+
+def test_evidence():
+    """Each word counts by its best rule, a longer rule as often as its rarest word."""
+    r = subjects.Rules({"a": (0, 0.7), "z": (1, 0.9)}, {("a", "b", "c"): (1, 0.95), ("b", "c"): (0, 0.8)})
+    bag = pa.RecordBatch.from_pydict({"words": [["a", "b", "c", "x"], ["b", "c"], ["a", "b", "z"], []], "counts": [[5, 2, 3, 1], [4, 1], [1, 1, 1], []], "first": [[0, 1, 2, 3], [0, 1], [0, 1, 2], []], "last": [[9, 9, 9, 3], [7, 8], [0, 1, 2], []]})
+    e, n, _ = subjects._Batch(bag).evidence(r.arrays(2), 2)
+    assert n.tolist() == [[0, 6], [2, 0], [1, 1], [0, 0]]
+    assert np.allclose(e, [[0, 6 * 0.9], [2 * 0.6, 0], [0.4, 0.8], [0, 0]])
+    assert subjects._Batch(bag).evidence(subjects.Rules().arrays(2), 2)[1].sum() == 0
 
 
 def test_words():
-    got = subjects.words("fooBar HTTPServer x_y foo", subjects._Parts())
-    assert {w: n[0] for w, n in got.items()} == {"foo": 2, "bar": 1, "http": 1, "server": 1, "x": 1, "y": 1} and got["foo"][1:] == [0, 4]
+    texts = pa.array(["fooBar HTTPServer x_y foo", "", "12;", "naïve ½x İx"])
+    doc, word, n, first, last = subjects.words(texts, subjects._Parts())
+    got = {(d, w): tuple(x) for d, w, *x in zip(doc.tolist(), word.to_pylist(), n.tolist(), first.tolist(), last.tolist())}
+    assert {w: x[0] for (d, w), x in got.items() if d == 0} == {"foo": 2, "bar": 1, "http": 1, "server": 1, "x": 1, "y": 1} and got[0, "foo"][1:] == (0, 4)
+    assert (3, "naïve") in got and not any(d in (1, 2) for d, _ in got)
 
 
 # the queries
