@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,16 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: what the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: what the cluster names in spark.checkpoint.dir. Only where that is unset and everything runs in one process (tests) a temporary one."""
+    conf = spark.sparkContext.getConf()
+    there = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not there:
+        master = conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="condnet-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage is cut, the result survives lost executors."""
+    """Write df as a table in the shared folder and read it back: lineage is cut, the result survives lost executors. The table goes when the process ends, or the enclosing scope()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/condnet-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -35,13 +41,35 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it isn't there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables written inside are removed at the end: for work whose result has been written elsewhere."""
+    first = len(_written)
+    try:
+        yield
+    finally:
+        for spark, path in _written[first:]:
+            remove(spark, path)
+        del _written[first:]
+
+
 @atexit.register
-def _remove() -> None:
+def _remove_all() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove(spark, path)
         except Exception:
             return
 

@@ -6,16 +6,20 @@ violate nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from condnet.common import materialize
+from condnet.common import children, materialize, parts
 from condnet.operators.graph import path_entries, path_triples, shortest_paths
 
 _CF = "fid bigint, pid bigint, sid bigint, nid bigint"
+_META = "clock int, seq int, tables array<string>"
 
 
 @dataclass(frozen=True)
@@ -45,6 +49,23 @@ class State:
         """The same with every table, or those that differ from an earlier state's, written to the shared folder."""
         return replace(self, **{k: materialize(v, k) for k, v in self.__dict__.items() if isinstance(v, DataFrame) and (since is None or v is not getattr(since, k))})
 
+    def save(self, folder: str) -> State:
+        """The same, read from a folder that it is written to; the clock, written last, tells that all of it is there."""
+        tables = {k: v for k, v in self.__dict__.items() if isinstance(v, DataFrame)}
+        for k, v in tables.items():
+            v.write.mode("overwrite").parquet(f"{folder}/{k}")
+        spark = self.tp.sparkSession
+        spark.createDataFrame([(self.clock, self.seq, sorted(tables))], _META).coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
+        return replace(self, **{k: spark.read.schema(v.schema).parquet(f"{folder}/{k}") for k, v in tables.items()})
+
+    @staticmethod
+    def load(spark, folder: str) -> State | None:
+        """What save() has written; None where it isn't complete."""
+        if "_SUCCESS" not in children(spark, f"{folder}/meta"):
+            return None
+        m = spark.read.schema(_META).parquet(f"{folder}/meta").first()
+        return State(**{k: spark.read.parquet(f"{folder}/{k}") for k in m["tables"]}, clock=m["clock"], seq=m["seq"])
+
 
 def reinit(s: State) -> State:
     """Everything emptied but the topology; the clock starts again."""
@@ -72,6 +93,16 @@ def delete_flows(s: State, fids: DataFrame) -> State:
     return replace(s, rm=s.rm.join(gone.select("fid"), "fid", "left_anti"), delta=waiting.unionByName(_delta(s, gone, 0)), acl=acl, seq=s.seq + 1)
 
 
+def change_flows(s: State, changes: DataFrame) -> State:
+    """Insertions and deletions (seq, op I | D, fid, src, dst, vol, fw, lb) as if one came after the other: what a later deletion takes comes first, then all deletions, then what stays."""
+    last = changes.where("op = 'D'").groupBy("fid").agg(F.max("seq").alias("__last"))
+    new = changes.where("op = 'I'").join(last, "fid", "left")
+    rows = lambda df: df.select("fid", "src", "dst", "vol", "fw", "lb")
+    s = insert_flows(s, rows(new.where("seq < __last")))
+    s = delete_flows(s, last.select("fid"))
+    return insert_flows(s, rows(new.where("__last is null or seq > __last")))
+
+
 def net_change(log: DataFrame) -> DataFrame:
     """(fid, deleted, added and the row's src, dst): what a log of additions and deletions (seq, fid, src, dst, isadd) leaves to do per flow.
 
@@ -120,19 +151,24 @@ def refuse_updates(before: DataFrame, after: DataFrame) -> DataFrame:
 def fw_violation(rm: DataFrame, acl: DataFrame) -> DataFrame:
     """(fid): flows with fw = 1 whose pair isn't allowed. Null-aware as a row NOT IN: a pair that a null leaves open is no violation."""
     f = rm.where("fw = 1").select("fid", "src", "dst")
-    a = acl.select("end1", "end2").distinct()
+    a = acl.select("end1", "end2")
+
+    def unless(df: DataFrame, rows: DataFrame) -> DataFrame:
+        """df, or nothing of it if there is any row."""
+        return df.join(F.broadcast(rows.select(F.lit(1).alias("__n")).limit(1)), F.col("__n") == 1, "left_anti")
+
+    def without(df: DataFrame, c: str, rows: DataFrame, e: str) -> DataFrame:
+        """df without what has its end c among the ends e of rows."""
+        return df.join(rows.select(F.col(e).alias("__e")).where("__e is not null"), F.col(c) == F.col("__e"), "left_anti")
+
     sure = f.where("src is not null and dst is not null").join(a.where("end1 is not null and end2 is not null"), (F.col("src") == F.col("end1")) & (F.col("dst") == F.col("end2")), "left_anti")
     # a null end allows whatever the other end doesn't rule out
-    for c, e in (("dst", "end2"), ("src", "end1")):
-        half = a.where(F.col("end1" if e == "end2" else "end2").isNull() & F.col(e).isNotNull()).select(F.col(e).alias("__e")).distinct()
-        sure = sure.join(half, F.col(c) == F.col("__e"), "left_anti")
-    any_null = a.where("end1 is null and end2 is null").select(F.lit(1).alias("__n")).limit(1)
-    sure = sure.join(F.broadcast(any_null), F.col("__n") == 1, "left_anti")
+    sure = without(without(sure, "dst", a.where("end1 is null"), "end2"), "src", a.where("end2 is null"), "end1")
+    sure = unless(sure, a.where("end1 is null and end2 is null"))
     # a flow with a null end violates only where no allowed pair could be its own
-    open_ = f.where("src is null or dst is null")
-    s1 = open_.where("src is null and dst is not null").join(a, (F.col("dst") == F.col("end2")) | F.col("end2").isNull(), "left_anti")
-    s2 = open_.where("dst is null and src is not null").join(a, (F.col("src") == F.col("end1")) | F.col("end1").isNull(), "left_anti")
-    s3 = open_.where("src is null and dst is null").join(F.broadcast(a.limit(1)), F.lit(True), "left_anti")
+    s1 = unless(without(f.where("src is null and dst is not null"), "dst", a, "end2"), a.where("end2 is null"))
+    s2 = unless(without(f.where("dst is null and src is not null"), "src", a, "end1"), a.where("end1 is null"))
+    s3 = unless(f.where("src is null and dst is null"), a)
     return sure.select("fid").unionByName(s1.select("fid")).unionByName(s2.select("fid")).unionByName(s3.select("fid"))
 
 
@@ -208,41 +244,58 @@ def routing_violations(log: DataFrame) -> DataFrame:
 
     log: (seq, kind, fid, src, dst, old_src, old_dst), kind ri | rd | ru for a request inserted, deleted, updated and cd for a
     forwarding row deleted. Status 1: path missing, 2: path to go, 3: path broken, -1: cancelled out. Each flow's events
-    are folded in order; a group holds the events of one flow since the last repair.
+    are folded in order as they stream by, sorted; none are held. Events without a flow are left out.
     """
 
-    def fold(pdf):
-        import pandas as pd
-
-        v: dict[int, tuple] = {}
-
-        def cancel(st: int) -> None:
-            v[-1] = v.pop(st)
-
-        for e in pdf.sort_values("seq").itertuples():
-            ends = (e.src, e.dst)
-            if e.kind == "ru":
-                if (e.src, e.dst) == (e.old_src, e.old_dst):
-                    continue
-                if 1 not in v:
-                    v[2] = (e.old_src, e.old_dst)
-                v[1] = ends
-            elif e.kind == "ri":
-                if v.get(2) == ends:
-                    cancel(2)
-                else:
-                    v[1] = ends
-            elif e.kind == "rd":
-                if 1 in v:
-                    cancel(1)
-                else:
-                    v[2] = ends
-            elif e.kind == "cd" and 2 not in v and 3 not in v:
-                v[3] = (None, None)
-        fid = pdf["fid"].iloc[0]
-        return pd.DataFrame([(fid, *v[k], k) for k in sorted(v)], columns=["fid", "src", "dst", "status"]).astype({"src": "Int64", "dst": "Int64"})
-
-    return log.groupBy("fid").applyInPandas(fold, "fid bigint, src bigint, dst bigint, status int")
+    kinds = ["seq", "kind", "fid", "src", "dst", "old_src", "old_dst"]
+    out = T.StructType([T.StructField(c, T.LongType()) for c in ("fid", "src", "dst")] + [T.StructField("status", T.IntegerType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flow, v = None, {}  # the flow that is being folded, status to ends
+        for b in chain(batches, [None]):
+            done: list[tuple] = []
+            for kind, fid, *ends in zip(*(b.column(c).to_pylist() for c in kinds[1:])) if b is not None else [(None, None)]:
+                if fid != flow:
+                    done += [(flow, *v[k], k) for k in sorted(v)]
+                    flow, v = fid, {}
+                if kind is not None:
+                    _step(v, kind, tuple(ends[:2]), tuple(ends[2:]))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=out.names)
+
+    rows = log.where("fid is not null").select("seq", "kind", *(F.col(c).cast("long") for c in kinds[2:]))
+    return rows.repartition(parts(log.sparkSession), "fid").sortWithinPartitions("fid", "seq").mapInArrow(fold, out)
+
+
+def _step(v: dict[int, tuple], kind: str, ends: tuple, old: tuple) -> None:
+    """One event into what a flow has to be repaired: status to ends."""
+
+    def cancel(st: int) -> None:
+        v[-1] = v.pop(st)
+
+    if kind == "ru":
+        if ends == old:
+            return
+        if 1 not in v:
+            v[2] = old
+        v[1] = ends
+    elif kind == "ri":
+        if v.get(2) == ends:
+            cancel(2)
+        else:
+            v[1] = ends
+    elif kind == "rd":
+        if 1 in v:
+            cancel(1)
+        else:
+            v[2] = ends
+    elif kind == "cd" and 2 not in v and 3 not in v:
+        v[3] = (None, None)
+
+
+def by_status(violations: DataFrame) -> DataFrame:
+    """Violations in the order in which they are repaired: the highest status first."""
+    return violations.orderBy(F.desc("status"), "fid")
 
 
 def routing_repair(tp: DataFrame, rm: DataFrame, cf: DataFrame, violations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -267,7 +320,7 @@ class App:
     repair: Callable[[State], State]
 
 
-FIREWALL = App("fw", [lambda s: fw_violation(s.rm, s.acl)], lambda s: delete_flows(s, fw_violation(s.rm, s.acl)))
+FIREWALL = App("fw", [lambda s: fw_violation(s.rm, s.acl)], lambda s: delete_flows(s, materialize(fw_violation(s.rm, s.acl), "violations")))
 BANDWIDTH = App("rate", [lambda s: rate_violation(s.rm, s.rates)], lambda s: replace(s, rm=rate_repair(s.rm, s.rates)))
 CHAIN = App("chain", [lambda s: chain_violation(s.rm, s.chains, s.groups)], lambda s: replace(s, rm=chain_repair(s.rm, s.chains, s.groups)))
 SWITCH = App("switch", [lambda s: switch_violation(s.cf)], lambda s: replace(s, cf=switch_repair(s.cf)))

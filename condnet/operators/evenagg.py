@@ -5,7 +5,7 @@ Method: every equal split of the input encodes its keys by a dictionary and redu
 summed by a distributed, streaming reduction into the block's own dense arrays. A key, however heavy, is one array entry per
 split. Memory of a task: the keys of its block, never the rows of a key.
 
-Defined cases: rows with the same id count once, with the smallest key; a null key is a key of its own (it counts for the
+Defined cases: rows with the same id count once, with the smallest key and measures; a null key is a key of its own (it counts for the
 table only where heavy keys are asked for); null measures are skipped; an empty table gives no row. Extra columns are ignored.
 """
 
@@ -84,23 +84,20 @@ def _masked(acc: tuple[np.ndarray, np.ndarray]) -> pa.Array:
 def per_key(df: DataFrame, key: str, measures: dict[str, tuple[str, str]] | None = None, row_id: str | None = None, blocks: int | None = None) -> DataFrame:
     """(key, n, measures): rows and measures of each key. measures: name -> (column of whole numbers, 'sum' | 'min' | 'max'). row_id: rows with the same id count once."""
     measures = measures or {}
+    blocks = blocks or 4 * parts(df.sparkSession)
     cols = [F.col(key).alias("k"), *(F.col(c).cast("long").alias(f"m{i}") for i, (c, _) in enumerate(measures.values()))]
+    src = df.select(*cols) if row_id is None else df.select(F.col(row_id).alias("i"), *cols)
     if row_id is not None:  # ids spread evenly: the shuffle makes the equal splits
-        vals = F.struct(*cols)
-        src = df.select(F.col(row_id).alias("i"), vals.alias("v")).groupBy("i").agg(F.min("v").alias("v")).select("v.*")
-    else:
-        src = df.select(*cols)
+        names = src.columns[1:]
+        src = src.groupBy("i").agg(*(F.min(c).alias(c) for c in names)).select(*names)
     kind = src.schema["k"].dataType
-    ops = ["sum", *(op for _, op in measures.values())]
-    blocks = blocks or 4 * parts(df.sparkSession)
-    out = T.StructType([T.StructField("b", T.IntegerType()), T.StructField("keys", T.ArrayType(kind)), *(T.StructField(f"a{i}", T.ArrayType(T.LongType())) for i in range(len(ops)))])
+    # the block of a key: a hash that every split computes alike
+    src = src.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)))
+    ops = ["sum", *(op for _, op in measures.values()), "max"]
+    out = T.StructType([T.StructField("b", T.IntegerType()), T.StructField("keys", T.ArrayType(kind)), *(T.StructField(f"a{i}", T.ArrayType(T.LongType())) for i in range(len(ops) - 1))])
 
     def cut(got: tuple) -> Iterator[pa.RecordBatch]:
-        keys, acc = got
-        # the block of a key: a hash that every split computes alike
-        import zlib
-
-        b = np.fromiter((0 if k is None else zlib.crc32(str(k).encode()) % blocks for k in keys.to_pylist()), np.int32, len(keys))
+        keys, (*acc, (b, _)) = got
         order = np.argsort(b, kind="stable")
         ids, first = np.unique(b[order], return_index=True)
         offs = pa.array(np.append(first, len(order)).astype(np.int32))
@@ -123,7 +120,7 @@ def per_key(df: DataFrame, key: str, measures: dict[str, tuple[str, str]] | None
     final = T.StructType([T.StructField(key, kind), T.StructField("n", T.LongType()), *(T.StructField(m, T.LongType()) for m in measures)])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = _Dense(ops)
+        d = _Dense(ops[:-1])
         for x in batches:
             flat = [pc.list_flatten(c) for c in x.columns[1:]]
             d.add(flat[0], [c.fill_null(0).to_numpy(zero_copy_only=False) for c in flat[1:]], [c.is_valid().to_numpy(zero_copy_only=False) for c in flat[1:]])

@@ -21,7 +21,7 @@ def active(tp: DataFrame) -> DataFrame:
 
 
 #: Directed links (16 bytes each) up to which every task gets the whole graph.
-BOUND = 1_000_000
+BOUND = 2_000_000
 
 
 class Links:
@@ -103,26 +103,51 @@ def _near(edges: DataFrame, wanted: DataFrame, start: str, end: str, max_hops: i
     return wanted.select(start, end).repartition(parts(spark), start).sortWithinPartitions(start).mapInArrow(run, schema)
 
 
+def _inner(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places, inner links): each node (n) with the node where searches for it start (core): a node with one link starts at its neighbour, unless that has no other link either; and the links between cores."""
+    nodes = materialize(edges.groupBy("sid").agg(F.count("*").alias("deg"), F.min("nid").alias("to")), "nodes")
+    end = nodes.where("deg = 1").join(nodes.where("deg > 1").select(F.col("sid").alias("to")), "to", "left_semi").select(F.col("sid").alias("n"), F.col("to").alias("core"))
+    places = materialize(nodes.select(F.col("sid").alias("n")).join(end, "n", "left").select("n", F.coalesce("core", "n").alias("core")), "places")
+    ends = places.where("n <> core").select("n")
+    inner = edges.join(ends.withColumnRenamed("n", "sid"), "sid", "left_anti").join(ends.withColumnRenamed("n", "nid"), "nid", "left_anti")
+    return places, inner.select("sid", "nid")
+
+
 def shortest_paths(tp: DataFrame, pairs: DataFrame, max_hops: int | None = None, bound: int = BOUND) -> DataFrame:
     """(fid, src, dst, pv): for each pair the node sequence with fewest links; of several the smallest sequence; [] where there is none.
 
     max_hops: farther ends count as unreachable; by default the search goes on until nothing new is found.
 
-    Searches start from the endpoints of which there are fewer distinct ones. While the links are at most `bound`, counted first, every
-    task gets them all and searches by itself. Beyond that, breadth-first search goes level by level over tables: links go both
-    ways, so what a step finds anew lies in neither of the last two levels; every level is written to the shared folder, and a
-    search whose ends are all found goes no further. A pair of a node with itself has that one node as its path if the node
-    has a link.
+    Nodes with one link (hosts) are taken off first, so that only the paths between their neighbours are searched, each once.
+    Searches start from the endpoints of which there are fewer distinct ones. While the links left are at most `bound`, counted
+    first, every task gets them all and searches by itself. Beyond that, breadth-first search goes level by level over tables: links
+    go both ways, so what a step finds anew lies in neither of the last two levels; every level is written to the shared folder, and
+    a search whose ends are all found goes no further. A pair of a node with itself has that one node as its path if the node
+    has a link. Counting, and the levels, run when the function is called.
     """
-    edges = materialize(active(tp), "edges")
-    wanted = materialize(pairs.where("src is not null and dst is not null").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct(), "pairs")
+    edges = materialize(active(tp).select(F.col("sid").cast("long"), F.col("nid").cast("long")), "edges")
+    places, edges = _inner(edges)
+    ends = pairs.where("src is not null and dst is not null").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct()
+    at = lambda c: places.select(F.col("n").alias(c), F.col("core").alias(f"{c}_core"))
+    ends = materialize(ends.join(at("src"), "src").join(at("dst"), "dst"), "ends")
+    between = _between(edges, ends.where("src <> dst and src_core <> dst_core").select(F.col("src_core").alias("src"), F.col("dst_core").alias("dst")).distinct(), max_hops, bound)
+    p = ends.join(between.select(F.col("src").alias("src_core"), F.col("dst").alias("dst_core"), "pv"), ["src_core", "dst_core"], "left")
+    tail = lambda c: F.when(F.col(c) != F.col(f"{c}_core"), F.array(c)).otherwise(F.array().cast("array<bigint>"))
+    inner = F.when(F.col("src_core") == F.col("dst_core"), F.array("src_core")).otherwise(F.col("pv"))
+    whole = F.when(F.col("src") == F.col("dst"), F.array("src")).otherwise(F.concat(tail("src"), inner, tail("dst")))
+    p = p.select(F.col("src").alias("__s"), F.col("dst").alias("__d"), whole.alias("pv"))
+    return _joined(pairs, p if max_hops is None else p.where(F.size("pv") <= max_hops + 1))
+
+
+def _between(edges: DataFrame, wanted: DataFrame, max_hops: int | None, bound: int) -> DataFrame:
+    """(src, dst, pv): paths of distinct pairs of different nodes; null or [] where there is none."""
+    edges, wanted = materialize(edges, "inner"), materialize(wanted, "pairs")
     n = wanted.agg(F.count_distinct("src").alias("s"), F.count_distinct("dst").alias("d")).first()
     start, end = ("src", "dst") if n["s"] <= n["d"] else ("dst", "src")
     if edges.count() <= bound:
-        p = _near(edges, wanted, start, end, max_hops).select(F.col("src").alias("__s"), F.col("dst").alias("__d"), "pv")
-        return _joined(pairs, p)
+        return _near(edges, wanted, start, end, max_hops).select("src", "dst", F.when(F.size("pv") > 0, F.col("pv")).alias("pv"))
     left = wanted.select(F.col(start).alias("start"), F.col(end).alias("at"))
-    hop = edges.select(F.col("sid").cast("long").alias("at"), F.col("nid").cast("long").alias("to"))
+    hop = edges.select(F.col("sid").alias("at"), F.col("nid").alias("to"))
     level = left.select("start").distinct().join(hop, F.col("start") == F.col("at"), "left_semi")
     level = materialize(level.select("start", F.col("start").alias("at"), F.array("start").alias("pv")), "level")
     before, found = level.limit(0), None
@@ -139,8 +164,7 @@ def shortest_paths(tp: DataFrame, pairs: DataFrame, max_hops: int | None = None,
         before, level = level, materialize(step.groupBy("start", "at").agg(F.min("pv").alias("pv")).join(old, ["start", "at"], "left_anti"), "level")
         if level.isEmpty():
             break
-    p = found.select(F.col("start").alias("__s" if start == "src" else "__d"), F.col("at").alias("__d" if start == "src" else "__s"), "pv")
-    return _joined(pairs, p)
+    return found.select(F.col("start").alias(start), F.col("at").alias(end), "pv")
 
 
 def _joined(pairs: DataFrame, p: DataFrame) -> DataFrame:

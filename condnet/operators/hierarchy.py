@@ -2,8 +2,9 @@
 
 Method: after separating cycles, every node hangs below the root that reaches it in the fewest links; subtree sizes label
 heavy chains; in heavy-first order a chain is one interval, so a node's path is its chain segments put together (at most
-log2(n) of them) and its descendants are one interval behind it, given in ascending order. Groups (flows) that fit a task
-are solved many at a time in numpy; a group with more than `LOCAL` links is solved by distributed rounds with the same result.
+log2(n) of them), its root the first segment's head, its depth their length, and its descendants are one interval behind it, given
+in ascending order. Groups (flows) that fit a task are solved many at a time in numpy; a group with more than `LOCAL` distinct links
+is solved by distributed rounds over the same chains and intervals, with the same result.
 
 Defined cases: links with a null end or group are no links; repeated links count once; a link to itself is a cycle; a root
 has a link out and none in; among roots at equal distance the smallest id counts, then the smallest parent; nodes that no
@@ -135,23 +136,22 @@ def solve(grp: np.ndarray, par: np.ndarray, child: np.ndarray, full: bool) -> di
     graph = _Graph(n, u, v)
     is_root = np.ones(n, bool)
     is_root[v] = False
-    depth = np.full(n, -1, np.int64)
-    root = np.full(n, -1, np.int64)  # index of the root
+    seen = is_root.copy()
+    origin = np.where(is_root, np.arange(n), -1)  # the root that settles ties
     up = np.full(n, -1, np.int64)
     front = np.flatnonzero(is_root)
-    depth[front], root[front] = 0, front
     levels = [front]
     while len(front):
         a, b = graph.out(front)
-        new = depth[b] < 0
+        new = ~seen[b]
         a, b = a[new], b[new]
         # ids ascend by (group, name): comparing indices of one group compares names
-        order = np.lexsort((a, root[a], b))
+        order = np.lexsort((a, origin[a], b))
         a, b = a[order], b[order]
         first = np.ones(len(b), bool)
         first[1:] = b[1:] != b[:-1]
         front, by = b[first], a[first]
-        depth[front], root[front], up[front] = len(levels), root[by], by
+        seen[front], origin[front], up[front] = True, origin[by], by
         if len(front):
             levels.append(front)
     size = np.ones(n, np.int64)
@@ -177,24 +177,30 @@ def solve(grp: np.ndarray, par: np.ndarray, child: np.ndarray, full: bool) -> di
         tin[lv] = tin[up[lv]] + shift[lv]
         h = lv[heavy[lv]]
         head[h] = head[up[h]]
-    out: dict = {"grp": groups[ids // len(nodes)], "node": name, "cyc": cyc, "reached": depth >= 0, "root": np.where(root >= 0, name[np.maximum(root, 0)], -1), "depth": depth, "size": np.where(depth >= 0, size - 1, 0)}
+    # up a node's chain to its head, on to the chain that this one hangs on, to a root: the last head is the root, the segments' lengths make the depth
+    reached = np.flatnonzero(seen)
+    depth, root = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    cur, mine = reached, reached
+    segments = []
+    while len(cur):
+        long = tin[cur] - tin[head[cur]] + 1
+        segments.append((cur, mine, long))
+        depth[mine] += long
+        root[mine] = head[cur]
+        cur = up[head[cur]]
+        go = cur >= 0
+        cur, mine = cur[go], mine[go]
+    out: dict = {"grp": groups[ids // len(nodes)], "node": name, "cyc": cyc, "reached": seen, "root": np.where(seen, name[root], -1), "depth": depth, "size": np.where(seen, size - 1, 0)}
     if full:
-        reached = np.flatnonzero(depth >= 0)
         order = np.empty(len(reached), np.int64)
         order[tin[reached]] = reached
-        length = depth + 1  # 0 where unreached
-        offs = np.concatenate([[0], np.cumsum(length)])
-        vals = np.empty(offs[-1], np.int64)
-        cur, end, mine = reached.copy(), offs[reached + 1].copy(), reached
-        while len(cur):
-            seg = tin[cur] - tin[head[cur]] + 1
-            vals[_expand(end - seg, seg)] = name[order[_expand(tin[head[cur]], seg)]]
-            end = end - seg
-            cur = up[head[cur]]
-            go = cur >= 0
-            cur, end, mine = cur[go], end[go], mine[go]
+        offs = np.concatenate([[0], np.cumsum(depth + 1)])  # none where unreached
+        vals, end = np.empty(offs[-1], np.int64), offs[1:].copy()
+        for cur, mine, long in segments:
+            end[mine] -= long
+            vals[_expand(end[mine], long)] = name[order[_expand(tin[head[cur]], long)]]
         out["path"] = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(vals))
-        below = np.where(depth >= 0, size - 1, 0)
+        below = np.where(seen, size - 1, 0)
         offs = np.concatenate([[0], np.cumsum(below)])
         vals = name[order[_expand(tin + 1, below)]]
         vals = vals[np.lexsort((vals, np.repeat(np.arange(n), below)))]

@@ -8,28 +8,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from condnet.operators.apps import Orchestrator, State, delete_flows, insert_flows
+from condnet.common import children, remove, scope
+from condnet.operators.apps import Orchestrator, State, change_flows
 
 
 class Controller:
-    """Keeps the state from batch to batch and hands it to a sink after each."""
+    """Keeps the state from batch to batch in a folder that all executors share, and hands it to a sink after each.
 
-    def __init__(self, state: State, apps: Orchestrator, sink: Callable[[State, int], None] | None = None):
-        self.state, self.apps, self.sink, self.done = state, apps, sink, -1
+    Each batch's state is written under its number, its last file last; a controller that starts on a folder goes on from the newest
+    complete one, and only that and the one before it are kept.
+    """
+
+    def __init__(self, state: State, apps: Orchestrator, folder: str, sink: Callable[[State, int], None] | None = None):
+        self.spark, self.apps, self.folder, self.sink = state.tp.sparkSession, apps, folder.rstrip("/"), sink
+        self.state, self.done = state, -1
+        for epoch in sorted(self._epochs(), reverse=True):
+            if (saved := State.load(self.spark, self._at(epoch))) is not None:
+                self.state, self.done = saved, epoch
+                break
+
+    def _epochs(self) -> list[int]:
+        return [int(n.split("=")[1]) for n in children(self.spark, self.folder) if n.startswith("epoch=")]
+
+    def _at(self, epoch: int) -> str:
+        return f"{self.folder}/epoch={epoch}"
 
     def batch(self, changes: DataFrame, epoch: int) -> None:
-        """changes: (op I | D, fid, src, dst, vol, fw, lb). A batch that is delivered again does nothing."""
+        """changes: (seq, op I | D, fid, src, dst, vol, fw, lb), applied in order of seq. A batch that is delivered again does nothing."""
         if epoch <= self.done:
             return
-        s = delete_flows(self.state, changes.where("op = 'D'"))
-        s = insert_flows(s, changes.where("op = 'I'").select("fid", "src", "dst", "vol", "fw", "lb"))
-        self.state = self.apps.run(s)
+        with scope():  # what the run writes on its way goes once the new state is written
+            self.state = self.apps.run(change_flows(self.state, changes)).save(self._at(epoch))
         self.done = epoch
+        for old in self._epochs():
+            if old < epoch - 1:
+                remove(self.spark, self._at(old))
         if self.sink:
             self.sink(self.state, epoch)
 
-    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        return stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).start()
+    def start(self, stream: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
+        """once: stop when all that is there has been read."""
+        w = stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
+        return (w.trigger(availableNow=True) if once else w).start()
 
 
 def net_change_of_stream(log: DataFrame, folder: str) -> DataFrame:

@@ -133,3 +133,31 @@ def test_defined_cases(spark, policy1):
     assert len(rows(c_union(policy1, c_project(policy1, ["dest", "path"])))) == 4
     ints = spark.createDataFrame([(1, "a", ["a == 1"]), (10, "b", None)], "n int, v string, condition array<string>")
     assert [r[0] for r in rows(c_select(ints, [Pred("n", ">", 2)]))] == [10]
+
+
+def test_query_text_of_two_tables(spark):
+    a = spark.createDataFrame([(1, "[A]", 5), (2, "x", 6)], "k int, path string, only int")
+    b = spark.createDataFrame([(1, "[B]"), (2, "[C]")], "k int, path string")
+    t = {"a": a, "b": b}
+    got = query("SELECT k, path FROM a, b WHERE a.k = b.k AND b.path = '[B]'", t)
+    assert [(r.k, r.path, r.condition) for r in got.collect()] == [(1, "[A]", [])]
+    got = query("SELECT k, path FROM a, b WHERE a.k = b.k AND a.path = '[B]' AND only = 6", t)
+    assert [(r.k, r.path, r.condition) for r in got.collect()] == [(2, "x", ["x == [B]"])]
+    for bad in ("path = '[B]'", "(a.path = '[A]' or b.path = '[B]')", "nothing = 1", "a.other = 1"):
+        with pytest.raises(ValueError):
+            query(f"SELECT * FROM a, b WHERE a.k = b.k AND {bad}", t)
+    one = query("SELECT path FROM a WHERE not_equal(path, '[A]') and (equal(path, '[B]') or equal('[C]', path))", t)
+    assert [(r.path, r.condition) for r in one.collect()] == [("x", ["Or(x == [B], x == [C])"])]
+
+
+def test_native_rules_agree_with_the_solver(spark):
+    import random
+
+    rnd = random.Random(5)
+    atoms = ["1 == 1", "1 == 2", "[A] != [A]", "[AB] == [A B]", "x == 1", "x != 1", "y == x", "x == x", "x != x", "l(x) <= 3", "l(x) == 2", "2 <= 1", "01 <= 1", "x == 'q q'", "1 == '1'", "Or(x == 1, 1 == 1)", "y == nopath", "3 == 3 nopath", "x == a 5:b", "x  == 1", "x==1", None, "x == a\x1fb", "é == é", "1 ==  1"]
+    data = [(i, [rnd.choice(atoms) for _ in range(rnd.randint(0, 4))]) for i in range(400)] + [(1000, None)]
+    got = {r.id: tuple(r.condition) for r in normalize(spark.createDataFrame(data, "id int, condition array<string>")).collect()}
+    want = {i: solver.normalized(tuple(c for c in v or () if c is not None)) for i, v in data}
+    assert got == {i: v for i, v in want.items() if v is not None}
+    with pytest.raises(Exception, match="not a comparison"):
+        normalize(spark.createDataFrame([(1, [""])], "id int, condition array<string>")).collect()

@@ -83,9 +83,9 @@ def test_searches_agree(spark):
     import random
 
     rnd = random.Random(6)
-    for nodes, links in ((14, 20),):
+    for nodes, links in ((12, 18), (30, 34)):
         tp = spark.createDataFrame([(rnd.randint(1, nodes), rnd.randint(1, nodes), rnd.choice([1, 1, 1, 0])) for _ in range(links)], "sid int, nid int, isactive int")
-        for few in (3,):
+        for few in (3, nodes):
             ends = [(i, rnd.randint(1, few), rnd.randint(1, nodes)) for i in range(40)]
             for turn in (False, True):
                 pairs = spark.createDataFrame([(i, b, a) if turn else (i, a, b) for i, a, b in ends], "fid long, src long, dst long")
@@ -193,22 +193,44 @@ def test_changes_and_routing_states(spark):
     assert rows(apps.apply_urm(rm.withColumn("vol", F.lit(None).cast("int")), urm)) == sorted([(4, 5, 6, None), (6, 5, 6, None), (9, 1, 2, 1), (2, 7, 8, 1)], key=str)
 
 
+CHANGE = "seq long, op string, fid long, src long, dst long, vol int, fw int, lb int"
+
+
 def test_stream(spark, tmp_path):
     t = topology.tables(spark, topology.single(3))
     o = apps.Orchestrator()
     o.load("rt")
     seen = []
-    c = Controller(apps.State.start(spark, t["tp"]), o, lambda s, e: seen.append((e, s.rm.count(), s.cf.count())))
-    schema = "op string, fid long, src long, dst long, vol int, fw int, lb int"
-    src = tmp_path / "in"
+    start = lambda: Controller(apps.State.start(spark, t["tp"]), o, str(tmp_path / "state"), lambda s, e: seen.append((e, s.rm.count(), s.cf.count())))
+    c, src = start(), tmp_path / "in"
     for i, r in enumerate([("I", 1, 2, 3, 1, 0, 0), ("D", 1, None, None, None, None, None)]):
-        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(src))
-        q = c.start(spark.readStream.schema(schema).parquet(str(src)), str(tmp_path / "cp"))
+        spark.createDataFrame([(i, *r)], CHANGE).coalesce(1).write.mode("append").parquet(str(src))
+        q = c.start(spark.readStream.schema(CHANGE).parquet(str(src)), str(tmp_path / "cp"))
         q.processAllAvailable()
         q.stop()
     assert [x[1:] for x in seen] == [(1, 1), (0, 0)]
-    c.batch(spark.createDataFrame([("I", 5, 2, 3, 1, 0, 0)], schema), 0)  # delivered before
+    c.batch(spark.createDataFrame([(9, "I", 5, 2, 3, 1, 0, 0)], CHANGE), 0)  # delivered before
     assert c.state.rm.count() == 0
+    c.batch(spark.createDataFrame([(10, "I", 6, 2, 3, 1, 0, 0)], CHANGE), 7)
+    # another process on the same folder goes on from there
+    again = start()
+    assert (again.done, again.state.clock, again.state.rm.count(), again.state.cf.count()) == (7, 3, 1, 1)
+    again.batch(spark.createDataFrame([(11, "D", 6, None, None, None, None, None)], CHANGE), 8)
+    assert again.state.rm.count() == again.state.cf.count() == 0 and len(list((tmp_path / "state").iterdir())) <= 2
+
+
+def test_changes_in_their_order(spark, tmp_path):
+    """One batch with several changes of a flow is as good as a batch for each."""
+    t = topology.tables(spark, topology.single(3))
+    log = [(1, "I", 1, 2, 3, 1, 0, 0), (2, "I", 2, 2, 4, 1, 0, 0), (3, "D", 1, None, None, None, None, None), (4, "I", 1, 2, 4, 1, 0, 0), (5, "D", 2, None, None, None, None, None)]
+    one = apps.State.start(spark, t["tp"], users=spark.createDataFrame([(2,)], "uid bigint"))
+    many = one
+    one = apps.apply_changes(apps.change_flows(one, spark.createDataFrame(log, CHANGE)))
+    for x in log:
+        many = apps.apply_changes(apps.change_flows(many, spark.createDataFrame([x], CHANGE))).written()
+    for k in ("rm", "cf", "acl"):
+        assert rows(getattr(one, k)) == rows(getattr(many, k)), k
+    assert {r.fid for r in one.rm.collect()} == {1}
 
 
 def test_scripts(spark):
