@@ -3,7 +3,7 @@
 Method: subset-sum budget fitting. Documents are counted by exact token length per source. A source whose target holds its
 tokens k times is taken k times as a whole (k at most the cap); for the rest of its target the lengths are taken in
 proportion, the remainder is brought below `BUDGET` by the largest fractions, and a bounded knapsack over the lengths left
-(a bit set of reachable sums, counts split into powers of two) fills what remains, as a rule to the token. Documents of a
+(reachable sums with the step that first reached each, counts split into powers of two) fills what remains, as a rule to the token. Documents of a
 length are then chosen by a seeded hash; lengths with very many documents are cut into hash buckets, so that no task ranks them all.
 
 Defined cases: sources are compared without blanks around and letter case; documents with null, blank or unlisted sources and
@@ -33,23 +33,28 @@ def source_key(c: Column | str) -> Column:
 def knapsack(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
     """How many of each length to take so that their sum comes closest to budget from below."""
     take = np.zeros(len(length), np.int64)
-    mask = (1 << (budget + 1)) - 1
-    bits, steps = 1, []
+    by = np.full(budget + 1, -1, np.int32)  # the step that first reaches a sum: all that the way back needs
+    reach = np.zeros(budget + 1, bool)
+    reach[0] = True
+    steps: list[tuple[int, int]] = []
     for j in np.argsort(-length, kind="stable"):
         size, left, q = int(length[j]), int(min(count[j], budget // max(1, int(length[j])))), 1
-        while left > 0 and not bits >> budget & 1:
+        while left > 0 and not reach[budget]:
             k = min(q, left)
-            steps.append((j, k, bits))
-            bits |= bits << (size * k) & mask
+            new = reach[: budget + 1 - size * k] & ~reach[size * k :]
+            if new.any():
+                by[size * k :][new] = len(steps)
+                reach[size * k :] |= new
+                steps.append((int(j), k))
             left -= k
             q *= 2
-        if bits >> budget & 1:
+        if reach[budget]:
             break
-    at = bits.bit_length() - 1
-    for j, k, before in reversed(steps):
-        if not before >> at & 1:
-            take[j] += k
-            at -= int(length[j]) * k
+    at = int(np.flatnonzero(reach)[-1])
+    while at:
+        j, k = steps[by[at]]
+        take[j] += k
+        at -= int(length[j]) * k
     return take
 
 
