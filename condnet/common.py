@@ -35,12 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut, the result survives lost executors. The table goes when the process ends, or the enclosing scope()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/condnet-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for what its caller writes; it goes like a table of materialize()."""
+    path = f"{shared_dir(spark)}/condnet-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

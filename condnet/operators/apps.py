@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,8 @@ class State:
     rates: DataFrame | None = None  # fid, rate
     chains: DataFrame | None = None  # gid1, gid2, mb
     groups: DataFrame | None = None  # gid, sid_array
+    policies: DataFrame | None = None  # a conditional table
+    events: DataFrame | None = None  # seq, kind, fid, src, dst, old_src, old_dst: what routing states are folded from; kept while set
     clock: int = 0
     seq: int = 0
 
@@ -82,7 +84,7 @@ def _delta(s: State, rows: DataFrame, isadd: int) -> DataFrame:
 def insert_flows(s: State, rows: DataFrame) -> State:
     """Add flows (fid, src, dst, vol, fw, lb): they wait as additions, and the firewall learns the way back of allowed sources."""
     acl = learn(s.acl, s.users, rows)
-    return replace(s, rm=s.rm.unionByName(rows), delta=s.delta.unionByName(_delta(s, rows, 1)), acl=acl, seq=s.seq + 1)
+    return replace(s, rm=s.rm.unionByName(rows), delta=s.delta.unionByName(_delta(s, rows, 1)), acl=acl, events=_told(s, "ri", rows), seq=s.seq + 1)
 
 
 def delete_flows(s: State, fids: DataFrame) -> State:
@@ -90,7 +92,37 @@ def delete_flows(s: State, fids: DataFrame) -> State:
     gone = s.rm.join(fids.select("fid").distinct(), "fid", "left_semi")
     acl = forget(s.acl, s.users, s.rm, gone)
     waiting = s.delta.join(gone.select("fid", F.lit(1).alias("isadd")), ["fid", "isadd"], "left_anti").select(*s.delta.columns)
-    return replace(s, rm=s.rm.join(gone.select("fid"), "fid", "left_anti"), delta=waiting.unionByName(_delta(s, gone, 0)), acl=acl, seq=s.seq + 1)
+    return replace(s, rm=s.rm.join(gone.select("fid"), "fid", "left_anti"), delta=waiting.unionByName(_delta(s, gone, 0)), acl=acl, events=_told(s, "rd", gone), seq=s.seq + 1)
+
+
+def move_flows(s: State, rows: DataFrame) -> State:
+    """Other ends (fid, src, dst) for flows; each flow once. Nothing waits for it, but routing states see it."""
+    new = rows.select("fid", F.col("src").alias("__src"), F.col("dst").alias("__dst"))
+    moved = s.rm.join(new, "fid")
+    rm = s.rm.join(new, "fid", "left").select(*(F.when(F.col("__dst").isNotNull() | F.col("__src").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in ("src", "dst") else F.col(c) for c in s.rm.columns))
+    told = moved.select("fid", F.col("__src").alias("src"), F.col("__dst").alias("dst"), F.col("src").alias("old_src"), F.col("dst").alias("old_dst"))
+    return replace(s, rm=rm, events=_told(s, "ru", told), seq=s.seq + 1)
+
+
+def _told(s: State, kind: str, rows: DataFrame) -> DataFrame | None:
+    if s.events is None:
+        return None
+    col = lambda c: (F.col(c) if c in rows.columns else F.lit(None)).cast("long").alias(c)
+    return s.events.unionByName(rows.select(F.lit(s.seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), *map(col, ("fid", "src", "dst", "old_src", "old_dst"))))
+
+
+def load_states(s: State) -> State:
+    """From here on changes are kept for routing states."""
+    return replace(s, events=s.rm.sparkSession.createDataFrame([], "seq bigint, kind string, fid bigint, src bigint, dst bigint, old_src bigint, old_dst bigint"))
+
+
+def unload_states(s: State) -> State:
+    return replace(s, events=None)
+
+
+def handshake(s: State, ins: DataFrame, dele: DataFrame) -> State:
+    """Forwarding rows to delete go, those to install come, and the clock ticks."""
+    return replace(s, cf=apply_diff(s.cf, ins, dele), clock=s.clock + 1)
 
 
 def change_flows(s: State, changes: DataFrame) -> State:
@@ -311,13 +343,35 @@ def routing_repair(tp: DataFrame, rm: DataFrame, cf: DataFrame, violations: Data
 # applications and runs
 
 
+def _same(s: State) -> State:
+    return s
+
+
 @dataclass(frozen=True)
 class App:
-    """A name, what violates it, and the state after repair."""
+    """A name, what violates it, the state after repair, and what loading and unloading do to a state."""
 
     name: str
     violations: list[Callable[[State], DataFrame]]
     repair: Callable[[State], State]
+    on_load: Callable[[State], State] = _same
+    on_unload: Callable[[State], State] = _same
+
+
+def together(name: str, *apps: App) -> App:
+    """One application with the violations of several, repaired in this order."""
+
+    def repair(s: State) -> State:
+        for a in apps:
+            s = a.repair(s)
+        return s
+
+    return App(name, [v for a in apps for v in a.violations], repair)
+
+
+def _repair_states(s: State) -> State:
+    rm, cf = routing_repair(s.tp, s.rm, s.cf, routing_violations(s.events))
+    return replace(load_states(s), rm=rm, cf=cf)
 
 
 FIREWALL = App("fw", [lambda s: fw_violation(s.rm, s.acl)], lambda s: delete_flows(s, materialize(fw_violation(s.rm, s.acl), "violations")))
@@ -325,16 +379,25 @@ BANDWIDTH = App("rate", [lambda s: rate_violation(s.rm, s.rates)], lambda s: rep
 CHAIN = App("chain", [lambda s: chain_violation(s.rm, s.chains, s.groups)], lambda s: replace(s, rm=chain_repair(s.rm, s.chains, s.groups)))
 SWITCH = App("switch", [lambda s: switch_violation(s.cf)], lambda s: replace(s, cf=switch_repair(s.cf)))
 ROUTING = App("rt", [lambda s: s.delta], apply_changes)
+STATES = App("states", [lambda s: by_status(routing_violations(s.events))], _repair_states, load_states, unload_states)
+#: Shows all policies as its violations and repairs nothing.
+POLICIES = App("policies", [lambda s: s.policies], _same)
 
 
 @dataclass
 class Orchestrator:
     """Loaded applications by priority; one run passes each once, the highest first, and ticks the clock."""
 
-    known: dict[str, App] = field(default_factory=lambda: {a.name: a for a in (FIREWALL, BANDWIDTH, CHAIN, SWITCH, ROUTING)})
+    known: dict[str, App] = field(default_factory=lambda: {a.name: a for a in (FIREWALL, BANDWIDTH, CHAIN, SWITCH, ROUTING, STATES, POLICIES)})
     loaded: list[str] = field(default_factory=list)
     auto: bool = False
 
+    def discover(self, *places) -> list[str]:
+        """The names of the applications found in modules or other objects, which are known from then on."""
+        found = [a for p in places for a in vars(p).values() if isinstance(a, App)]
+        self.known |= {a.name: a for a in found}
+        return sorted(a.name for a in found)
+
     def load(self, *names: str) -> None:
         """From the lowest to the highest priority."""
         for n in names:
@@ -342,9 +405,26 @@ class Orchestrator:
                 raise ValueError(f"unknown application {n!r}")
         self.loaded = list(names)
 
+    def loading(self, s: State, *names: str) -> State:
+        """Load, and the state that loading makes of s."""
+        self.load(*names)
+        for n in names:
+            s = self.known[n].on_load(s)
+        return s
+
     def unload(self, *names: str) -> None:
         self.loaded = [n for n in self.loaded if n not in names]
 
+    def unloading(self, s: State, *names: str) -> State:
+        for n in names:
+            s = self.known[n].on_unload(s) if n in self.loaded else s
+        self.unload(*names)
+        return s
+
+    def violations(self, s: State) -> dict[str, list[DataFrame]]:
+        """What violates each loaded application, the highest first."""
+        return {n: [v(s) for v in self.known[n].violations] for n in self.order()}
+
     def reset(self) -> None:
         self.loaded = []
 
@@ -453,6 +533,11 @@ def profile_summary(counters: DataFrame) -> DataFrame:
     return counters.rollup("name").agg(F.count("*").alias("n"), F.sum("ms").alias("total"))
 
 
+def ms_us(micros: Column) -> Column:
+    """A time in microseconds as milliseconds of its second, a dot, and microseconds of its second."""
+    return F.concat(F.lpad((F.floor(micros / 1000) % 1000).cast("string"), 3, "0"), F.lit("."), F.lpad((micros % 1_000_000).cast("string"), 6, "0"))
+
+
 def latest(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """The last row of each key."""
     w = Window.partitionBy(*key).orderBy(F.desc(order))

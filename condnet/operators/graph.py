@@ -7,7 +7,7 @@ from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -205,6 +205,18 @@ def link_state(tp: DataFrame, events: DataFrame) -> DataFrame:
     return new.unionByName(fresh.select(*(fill.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in tp.columns)))
 
 
+def new_ports(ports: DataFrame, tp: DataFrame, events: DataFrame) -> DataFrame:
+    """ports (sid, nid, port) with those of links that come up and weren't there, from events (seq, sid, nid, up, port1, port2): port1 is that of sid, port2 that of nid; the first such event of a link counts."""
+    both = F.explode(F.array(F.struct("sid", "nid", F.col("port1").alias("port")), F.struct(F.col("nid").alias("sid"), F.col("sid").alias("nid"), F.col("port2").alias("port")))).alias("x")
+    up = events.where("up = 1").select("seq", both).groupBy("x.sid", "x.nid").agg(F.min_by("x.port", "seq").alias("port"))
+    return ports.select("sid", "nid", "port").unionByName(up.join(tp.select("sid", "nid"), ["sid", "nid"], "left_anti").select("sid", "nid", "port"))
+
+
+def hop_position(path: Column, hop: Column) -> Column:
+    """The place of a hop's first occurrence in a space-separated path, from 1; 0 where it isn't there."""
+    return F.array_position(F.split(path, " "), hop)
+
+
 def reroute(tp: DataFrame, cf: DataFrame, rm: DataFrame, down: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tp, to delete, to install) after links (sid, nid) went down: all rows of the flows that used one, and those flows' new paths over what is left."""
     both = down.select("sid", "nid").union(down.select(F.col("nid"), F.col("sid"))).distinct()

@@ -538,13 +538,6 @@ def urm_apply(spark: SparkSession, d: str) -> DataFrame:
     return apps.apply_urm(spark_table(spark, d, "rm"), log).select("fid", "src", "dst", "vol")
 
 
-@_add()
-def rt_state_machine(spark: SparkSession, d: str) -> DataFrame:
-    """Requests that come and go, folded to what is left to repair."""
-    log = spark_table(spark, d, "rm_log").select("seq", F.when(F.col("isadd") == 1, "ri").otherwise("rd").alias("kind"), "fid", "src", "dst", F.lit(None).cast("long").alias("old_src"), F.lit(None).cast("long").alias("old_dst"))
-    return apps.routing_violations(log)
-
-
 @_add(f"""
   WITH keep AS (SELECT fid FROM {_RM} WHERE NOT coalesce(fw = 1 AND (src, dst) NOT IN (SELECT end1, end2 FROM {_ACL}), false))
   SELECT t.fid, pid, sid, nid FROM {_TRI} t WHERE fid IN (SELECT fid FROM keep)""")

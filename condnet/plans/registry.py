@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _name in ("reference", "data_problems"):
+for _name in ("reference", "control", "data_problems"):
     _m = importlib.import_module(f"condnet.plans.{_name}")
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE

@@ -81,8 +81,34 @@ def show(df: DataFrame, n: int = 20) -> str:
     return "\n".join([line(df.columns), line(["-" * w for w in width]), *map(line, rows)])
 
 
+#: The demo candidates, paths by prefix and least length.
+CANDIDATES = {
+    ("1.6.4.0/22", 2): [
+        "3303 6453 9583", "23673 9583", "20912 3257 1299 9583", "8492 31133 174 9583", "3561 209 3356 1299 9583", "7018 1299 9583", "31019 43531 9583", "34224 6453 9583", "37100 6461 7473 9583", "3549 3356 1299 9583",
+        "3130 2914 1299 9583", "2152 7473 9583", "293 3320 9583", "6939 9583", "2497 3491 9583", "53767 14315 6453 6453 9583", "3257 1299 9583", "701 3320 9583", "5413 6461 7473 9583", "22652 6461 7473 9583", "3741 174 9583",
+        "7660 4635 3491 3491 9583", "2914 3491 9583", "24441 3491 3491 9583", "1221 4637 3320 9583", "11686 174 9583", "20130 6939 9583", "57866 6461 7473 9583", "49788 1299 9583", "18106 9583", "1403 1299 9583",
+        "3549 3356 174 9583", "1299 9583", "3130 1239 6453 9583",
+    ],
+    ("1.6.68.0/22", 2): [
+        "3303 6453 9583", "23673 3491 174 9583", "20912 3257 1299 9583", "8492 31133 174 9583", "3561 209 3356 1299 9583", "7018 1299 9583", "31019 43531 9583", "34224 6453 9583", "37100 6453 9583", "3130 2914 1299 9583",
+        "22652 6453 9583", "293 3320 9583", "6939 9583", "3549 3356 1299 9583", "2914 6453 9583", "53767 14315 6453 6453 9583", "3257 1299 9583", "701 3320 9583", "49788 1299 9583", "5413 1299 9583", "7660 2516 3320 9583",
+        "2497 6453 9583", "3741 174 9583", "57866 1299 9583", "2152 3356 6453 9583", "24441 3491 3491 6453 9583", "1221 4637 3320 9583", "11686 174 9583", "20130 6939 9583", "18106 6939 9583", "1403 1299 9583",
+        "3549 3356 174 9583", "1299 9583", "3130 1239 6453 9583",
+    ],
+    ("1.6.188.0/24", -1): [
+        "3303 6453 9583", "23673 3491 174 9583", "20912 3257 1299 9583", "8492 31133 174 9583", "3561 209 3356 1299 9583", "7018 1299 9583", "31019 43531 9583", "34224 6453 9583", "37100 6453 9583", "49788 1299 9583",
+        "3130 2914 1299 9583", "22652 6453 9583", "293 3320 9583", "6939 9583", "3549 3356 1299 9583", "2914 6453 9583", "53767 14315 6453 6453 9583", "3257 1299 9583", "701 3320 9583", "5413 1299 9583", "7660 2516 3320 9583",
+        "2497 6453 9583", "3741 174 9583", "57866 1299 9583", "2152 3356 6453 9583", "24441 3491 3491 6453 9583", "1221 4637 3320 9583", "11686 174 9583", "20130 6939 9583", "18106 6939 9583", "1403 1299 9583",
+        "3549 3356 174 9583", "1299 9583", "3130 2914 1299 9583",
+    ],
+    ("1.22.208.0/24", -1): [
+        "3303 9498 45528",
+    ],
+}
+
+
 def demo(spark: SparkSession) -> dict[str, DataFrame]:
-    """A small set of policies, current routes and announcements to try things on."""
+    """Small tables to try things on: policies, routes and announcements; conditional tables and instances of them."""
     # fixed values: the demo rows
     policy = [("1.6.68.0/22", "x579", 2, ["l(x579) <= 2"]), ("1.6.4.0/22", "x531", 2, ["l(x531) <= 2"]), ("1.6.188.0/24", "y5", -1, ["y5 == 3303 6453 9583"]), ("1.22.208.0/24", "z2", -1, ["z2 == nopath"])]
     current = [("1.6.188.0/24", "3303 6453 9583", -1), ("1.6.4.0/22", "23673 9583", 2), ("1.6.68.0/22", "6939 9583", 2)]
@@ -90,13 +116,25 @@ def demo(spark: SparkSession) -> dict[str, DataFrame]:
         ("1.6.68.0/22", "A", "3130 2914 1299 9583", 4), ("1.6.68.0/22", "A", "9583", 1), ("1.6.4.0/22", "A", "3130 2914 1299 9583", 4),
         ("1.6.188.0/24", "A", "2914 6453 9583", 3), ("1.22.208.0/24", "A", "3130 2914 1299 9498 45528", 5),
     ]
+    ctable = "dest string, path string, condition array<string>"
     return {
         "bgp_policy": spark.createDataFrame(policy, "dest string, path string, min_len int, condition array<string>"),
+        "routes": spark.createDataFrame([(d, p, n) for (d, n), paths in CANDIDATES.items() for p in paths], "dest string, path string, min_len int"),
         "current_best_routes": spark.createDataFrame(current, "dest string, path string, min_len int"),
         "routes_delta": spark.createDataFrame(delta, "dest string, operation string, path string, len_path int"),
-    }
-
-
+        "policy1": spark.createDataFrame([("1.2.3.4", "x", ["x == [ABC]"]), ("y", "z", ["y != 1.2.3.5", "y != 1.2.3.4"])], ctable),
+        "policy2": spark.createDataFrame([("1.2.3.4", "[ABC]", "u", ["u == 1"]), ("5.6.7.8", "[ABC]", "u", ["u != 1"]), ("1.2.3.4", "[AC]", "v", ["v == 1"]), ("5.6.7.8", "[AC]", "v", ["v != 1"])], "dest string, path string, flag string, condition array<string>"),
+        "policy3": spark.createDataFrame([("1.2.3.4", "x", ["x == [ADC]"])], ctable),
+        "routing": spark.createDataFrame([("1.2.3.4", "[ABC]", []), ("1.2.3.4", "[AC]", []), ("1.2.3.5", "[ADC]", []), ("5.6.7.8", "[ABC]", []), ("5.6.7.8", "[AC]", [])], ctable),
+        "instance1": spark.createDataFrame([("1.2.3.4", "[ABC]", ["[ABC] == [ABC]"]), ("5.6.7.8", "[AC]", ["5.6.7.8 != 1.2.3.5", "5.6.7.8 != 1.2.3.4"])], ctable),
+        "instance2": spark.createDataFrame([("1.2.3.4", "[AC]", ["[AC] == [ABC]"]), ("1.2.3.5", "[ADC]", ["1.2.3.5 != 1.2.3.5", "1.2.3.5 != 1.2.3.4"])], ctable),
+    }
+
+
+def write_lines(lines: DataFrame, path: str) -> str:
+    """Write a column of text as lines of the files of a folder."""
+    lines.write.mode("overwrite").text(path)
+    return path
 
 
 def load(df: DataFrame, path: str) -> DataFrame:

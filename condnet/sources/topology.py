@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from condnet.sources.text import read_isp
+
 
 @dataclass
 class Topology:
@@ -106,9 +108,25 @@ def diamond() -> Topology:
 _MADE = {"empty": empty, "single": single, "reversed": reversed_single, "minimal": minimal, "linear": linear, "tree": tree, "fattree": fattree, "diamond": diamond}
 
 
-def topology(spec: str) -> Topology:
-    """From text such as 'linear,4' or 'tree,depth=2,fanout=3'."""
+def isp(spark: SparkSession, folder: str, number: int | str) -> Topology:
+    """The switches s<node> and links of an ISP topology's files, collected as every generated topology is made by the driver (thousands of nodes)."""
+    nodes, links = read_isp(spark, folder, number)
+    t = Topology([f"s{r.node}" for r in nodes.collect()])
+    known = set(t.switches)
+    for a, b in sorted((f"s{r.a}", f"s{r.b}") for r in links.collect()):
+        if not {a, b} <= known:
+            raise ValueError(f"a link ends at an unknown node: {a} {b}")
+        t.link(a, b)
+    return t
+
+
+def topology(spec: str, spark: SparkSession | None = None, folder: str | None = None) -> Topology:
+    """From text such as 'linear,4' or 'tree,depth=2,fanout=3'; 'isp,<number>' reads the files of a folder."""
     name, *args = [x.strip() for x in spec.split(",") if x.strip()]
+    if name == "isp":
+        if spark is None or folder is None or len(args) != 1:
+            raise ValueError("isp takes a number, and needs the folder of its files")
+        return isp(spark, folder, args[0])
     if name not in _MADE:
         raise ValueError(f"unknown topology {name!r}")
     plain = [int(a) for a in args if "=" not in a]
