@@ -58,6 +58,13 @@ def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumnRenamed("grp", "fid")
 
 
+def p5_paths(spark: SparkSession, d: str) -> DataFrame:
+    """As p5_nodes, with path and descendants as text."""
+    n = p5_nodes(spark, d)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    return n.select("fid", "node", "root", "depth", "n_descendants", "on_cycle", text("path"), text("descendants"))
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     hosts = parents(table(spark, d, "hosts"), "hid", "added_at", "removed_at")
     switches = parents(table(spark, d, "switches"), "sid", "added_at", "removed_at")
@@ -77,7 +84,7 @@ def p6_periods(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).groupBy("tab", "field", "period").agg(F.count("*").alias("orphans"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_dests, p4_switches, p5_found, p5_nodes, p6_found, p6_periods)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_dests, p4_switches, p5_found, p5_nodes, p5_paths, p6_found, p6_periods)}
 
 _VALUE = r"""Or\([^)]*\)|[a-z]\w*(?:\(\w+\))? (?:==|!=|<=|>=|<|>) (?:"[^"]*"|''[^'']*''|[0-9a-z.:/]+(?: [0-9]+)*)"""
 _KEY = "nullif(lower(trim(dest, ' \t')), '')"
@@ -121,6 +128,15 @@ ORACLE = {
     + """
   SELECT fid, node, -1::BIGINT AS root, -1::BIGINT AS depth FROM cyc
   UNION ALL SELECT fid, node, root, depth FROM found WHERE depth > 16 AND NOT EXISTS (SELECT 1 FROM cyc c WHERE c.fid = found.fid AND c.node = found.node)""",
+    "p5_paths": _TREE
+    + """,
+  up AS (SELECT f.fid, f.node, min(e.a) AS up FROM found f JOIN e ON e.fid = f.fid AND e.b = f.node JOIN found p ON p.fid = e.fid AND p.node = e.a AND p.root = f.root AND p.depth = f.depth - 1 GROUP BY ALL),
+  p AS (SELECT fid, node, [node] AS path FROM found WHERE depth = 0 UNION ALL SELECT up.fid, up.node, list_append(p.path, up.node) FROM up JOIN p ON p.fid = up.fid AND p.node = up.up),
+  below AS (SELECT fid, a AS node, count(*) AS n, string_agg(node::VARCHAR, ' ' ORDER BY node) AS descendants FROM (SELECT fid, node, unnest(path[:-2]) AS a FROM p) GROUP BY ALL)
+  SELECT n.fid, n.node, CASE WHEN c.node IS NOT NULL THEN -1 ELSE f.root END AS root, CASE WHEN c.node IS NOT NULL THEN -1 ELSE f.depth END AS depth, coalesce(b.n, 0) AS n_descendants, c.node IS NOT NULL AS on_cycle,
+    coalesce(array_to_string(p.path, ' '), '') AS path, coalesce(b.descendants, '') AS descendants
+  FROM (SELECT fid, a AS node FROM e UNION SELECT fid, b FROM e) n LEFT JOIN found f ON f.fid = n.fid AND f.node = n.node LEFT JOIN cyc c ON c.fid = n.fid AND c.node = n.node
+  LEFT JOIN p ON p.fid = n.fid AND p.node = n.node LEFT JOIN below b ON b.fid = n.fid AND b.node = n.node""",
     "p6_found": _ORPHANS,
     "p6_periods": f"SELECT tab, field, period, count(*) AS orphans FROM ({_ORPHANS}) GROUP BY ALL",
 }
