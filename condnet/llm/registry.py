@@ -28,7 +28,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     # runs first, so that rows delivered again are told by their few runs, not by their paths
-    runs = packed_runs(table(spark, d, "routes"), "rid", "path", PATH, as_number)
+    runs = packed_runs(table(spark, d, "routes").where("rid is not null"), "rid", "path", PATH, as_number)
     return runs.groupBy(F.col("row_id").alias("rid"), "first_pos").agg(F.max("run_len").alias("run_len"))
 
 
