@@ -16,6 +16,7 @@ def ct(spark, rows, cols):
     return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols) + ", condition array<string>")
 
 
+# fixed values: the demo tables policy1 and policy2, and what their join must give
 @pytest.fixture
 def policy1(spark):
     return ct(spark, [("1.2.3.4", "x", ["x == [ABC]"]), ("y", "z", ["y != 1.2.3.5", "y != 1.2.3.4"])], ["dest", "path"])
@@ -30,6 +31,7 @@ def rows(df):
     return sorted(tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in df.collect())
 
 
+# fixed value
 JOINED = [("1.2.3.4", "x", "u", ("x == [ABC]", "u == 1")), ("y", "z", "u", ("u != 1", "y == 5.6.7.8", "z == [ABC]")), ("y", "z", "v", ("v != 1", "y == 5.6.7.8", "z == [AC]"))]
 
 
@@ -55,6 +57,7 @@ def test_sql_front(spark, policy1, policy2):
 
 
 def test_ground_instances(spark):
+    # fixed values: the demo's instances and its list for the solver
     i1 = ct(spark, [("1.2.3.4", "[ABC]", ["[ABC] == [ABC]"]), ("5.6.7.8", "[AC]", ["5.6.7.8 != 1.2.3.5", "5.6.7.8 != 1.2.3.4"])], ["dest", "path"])
     i2 = ct(spark, [("1.2.3.4", "[AC]", ["[AC] == [ABC]"]), ("1.2.3.5", "[ADC]", ["1.2.3.5 != 1.2.3.5", "1.2.3.5 != 1.2.3.4"])], ["dest", "path"])
     assert rows(normalize(i1)) == [("1.2.3.4", "[ABC]", ()), ("5.6.7.8", "[AC]", ())]

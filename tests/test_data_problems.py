@@ -166,3 +166,14 @@ def test_orphans(spark, bound):
         assert none.count() == len({i for i, a, _, t in refs if a is not None and t is not None})
         assert orphans(r.limit(0), parents(p, "id", "key", "until"), "lo", ["at"], "row_id").count() == 0
         assert max(Counter(map(tuple, got.collect())).values()) == 1
+
+
+def test_far_hierarchy_of_one_large_tree(spark, monkeypatch):
+    """Chains, what hangs on them, blocks of the order: the distributed rounds against the numpy way."""
+    monkeypatch.setattr("condnet.operators.hierarchy_far.BLOCK", 7)
+    monkeypatch.setattr("condnet.operators.hierarchy_far.SALTS", 2)
+    rnd = random.Random(11)
+    data = [(1, 1000 + rnd.randrange(max(0, i - 7), i), 1000 + i) for i in range(1, 90)] + [(1, 1040, 1035), (1, 5, 1080), (1, 700, 701), (1, 701, 700)]
+    df = spark.createDataFrame(data, "g int, a int, b int")
+    near, far = (sorted(map(tuple, hierarchy(df, "g", ["a", "b"], full=True, local=n).collect()), key=str) for n in (10**6, 0))
+    assert near == far and len(near) == 93

@@ -268,3 +268,41 @@ def test_state_and_sinks(spark, tmp_path):
     assert o.order() == [] and o.run(s).clock == 1
     with pytest.raises(ValueError):
         o.load("nothing")
+
+
+def test_paths_of_ends(spark):
+    """Hosts, nodes that only have each other, nodes with themselves, unknown ones: as a plain search over all links finds them."""
+    import random
+
+    rnd = random.Random(3)
+    links = {(rnd.randint(1, 9), rnd.randint(1, 9)) for _ in range(12)} | {(20 + i, rnd.randint(1, 9)) for i in range(6)} | {(40, 41), (50, 51), (50, 52), (50, 53)}
+    adj = {}
+    for a, b in links:
+        if a != b:
+            adj.setdefault(a, set()).add(b)
+            adj.setdefault(b, set()).add(a)
+
+    def brute(s, t):
+        level = {s: (s,)} if s in adj and t in adj else {}
+        seen = set(level)
+        while level:
+            if t in level:
+                return level[t]
+            new = {}
+            for x, p in level.items():
+                for y in adj[x] - seen:
+                    new[y] = min(new.get(y, p + (y,)), p + (y,))
+            seen |= set(new)
+            level = new
+        return ()
+
+    ends = [1, 2, 3, 9, 20, 21, 22, 25, 40, 41, 50, 51, 52, 77]
+    pairs = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in ends for b in ends)]
+    tp = spark.createDataFrame([(a, b, 1) for a, b in links], "sid int, nid int, isactive int")
+    df = spark.createDataFrame([*pairs, (900, None, 1), (901, 1, None)], "fid long, src long, dst long")
+    want = {i: brute(a, b) for i, a, b in pairs} | {900: (), 901: ()}
+    assert {r.fid: tuple(r.pv) for r in graph.shortest_paths(tp, df).collect()} == want
+    few = graph.shortest_paths(tp, df, max_hops=2)
+    assert {r.fid: tuple(r.pv) for r in few.collect()} == {i: p if len(p) <= 3 else () for i, p in want.items()}
+    far = graph.shortest_paths(tp, df.where("fid % 5 = 0 or fid > 899"), bound=0)
+    assert {r.fid: tuple(r.pv) for r in far.collect()} == {i: p for i, p in want.items() if i % 5 == 0 or i > 899}
