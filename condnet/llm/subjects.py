@@ -9,7 +9,7 @@ part that isn't nearly certain (`CERTAIN`) and that, if it has several words, to
 doesn't top every part of it by `IMPROVE` is redundant and pruned. So a rule has as many words as improve it, at most 1 / IMPROVE.
 The first rules come from the labelled examples, whose words cover the subjects only in part; they label the documents that they
 are sure of, and rules are mined anew over examples and all documents, twice. Every document is then scored by the evidence of
-the rules that match it, each word through its best rule.
+the rules that match it, each word through its best rule; the words of a longer rule together count as often as the rarest of them.
 
 Parameters: an item needs `SUPPORT` of the labelled documents and at least 4 of them, so there are at most (mean number of distinct
 words of a document) / SUPPORT rule items; a document's subject needs `SHARE` of its evidence and `DENSITY` of its words.
@@ -177,8 +177,9 @@ class _Batch:
             at, rule, n = at[best], rule[best], n[best]
             best = r.longer_weight[rule] > weight[at]
             at, rule, n = at[best], rule[best], n[best]
-            count = count.copy()
-            kind[at], weight[at], count[at] = r.longer_cls[rule], r.longer_weight[rule], n
+            count = count.astype(np.float64)
+            # the words of a rule together are one piece of evidence
+            kind[at], weight[at], count[at] = r.longer_cls[rule], r.longer_weight[rule], n / (r.longer[rule] >= 0).sum(1)
         ok = kind >= 0
         cell = self.doc[ok] * classes + kind[ok]
         size = self.docs * classes
