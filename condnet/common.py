@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+#: The tables of this thread's scope().
+_own = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +46,8 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, for what its caller writes; it goes like a table of materialize()."""
     path = f"{shared_dir(spark)}/condnet-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    mine = getattr(_own, "tables", None)
+    (_written if mine is None else mine).append((spark, path))
     return path
 
 
@@ -61,14 +65,15 @@ def children(spark: SparkSession, path: str) -> list[str]:
 
 @contextmanager
 def scope() -> Iterator[None]:
-    """Tables written inside are removed at the end: for work whose result has been written elsewhere."""
-    first = len(_written)
+    """Tables that this thread writes inside are removed at the end: for work whose result has been written elsewhere."""
+    outer = getattr(_own, "tables", None)
+    _own.tables = []
     try:
         yield
     finally:
-        for spark, path in _written[first:]:
+        mine, _own.tables = _own.tables, outer
+        for spark, path in mine:
             remove(spark, path)
-        del _written[first:]
 
 
 @atexit.register
