@@ -153,7 +153,7 @@ def test_query_text_of_two_tables(spark):
     assert [(r.path, r.condition) for r in one.collect()] == [("x", ["Or(x == [B], x == [C])"])]
 
 
-def test_native_rules_agree_with_the_solver(spark):
+def test_lists_reach_the_solver_unchanged(spark):
     import random
 
     rnd = random.Random(5)
