@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from condnet.common import materialize, shared_dir, table
@@ -32,9 +32,13 @@ def _add(sql: str | None = None):
     return keep
 
 
+def _text(c: Column) -> Column:
+    """A condition list as text, as a set."""
+    return F.array_join(F.sort_array(c), "; ")
+
+
 def _flat(df: DataFrame) -> DataFrame:
-    """Condition lists as text, as a set."""
-    return df.withColumn("condition", F.array_join(F.sort_array("condition"), "; "))
+    return df.withColumn("condition", _text(F.col("condition")))
 
 
 _P, _R, _A = duck("policy_ct"), duck("routes_ct"), duck("asroutes")
@@ -79,7 +83,7 @@ def c_join_data_phase(spark: SparkSession, d: str) -> DataFrame:
     array_to_string(list_sort(list_concat(p.condition, list_value(p.dest || ' == ' || r.dest, p.path || ' == ' || r.path))), '; ') AS condition
   FROM {_P} p JOIN {_R} r ON {_poss('=', 'p.dest', 'r.dest')} AND {_poss('=', 'p.path', 'r.path')}""")
 def c_join_condition_phase(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(c_join(spark_table(spark, d, "policy_ct"), spark_table(spark, d, "routes_ct"), _ON, solve=False))
+    return c_join(spark_table(spark, d, "policy_ct"), spark_table(spark, d, "routes_ct"), _ON, solve=False, shown=_text)
 
 
 @_add(_NORM_JOIN.replace("list_contains(condition", "list_contains(p.condition").replace("len(condition)", "len(p.condition)"))
