@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from condnet.operators.algebra import c_join
+from condnet.operators.algebra import c_join, c_join_data
 from tests.test_ctables import ct
 
 ON = [("dest", "==", "dest"), ("path", "==", "path")]
@@ -25,12 +25,27 @@ def rows(df):
     return sorted(map(repr, df.collect()))
 
 
+def shares(df):
+    n = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(n) / sum(n)
+
+
 def on_top(df):
     """The operators of the plan, from the result down to the first join."""
     text = df._jdf.queryExecution().optimizedPlan().toString()
     return text[: text.index("Join")]
 
 
+def test_join_data_of_repeated_cells_in_parts(spark, policy, routes):
+    """Many routes share the path that all policies of a variable dest are joined by: they come out in parts, not all in one task."""
+    got = c_join_data(policy, routes, ON)
+    assert rows(got) == rows(c_join_data(policy, routes, ON, split=False))
+    wild, alike = policy.where("dest like 'd%'"), routes.where("path = '[A]' and dest in ('0', '1', '2')").withColumn("dest", F.lit("1"))
+    assert shares(c_join_data(wild, alike, ON)) < 0.9
+    one = routes.select("dest", "path", "condition")
+    assert rows(c_join_data(policy, one, ON)) == rows(c_join_data(policy, one, ON, split=False))
+
+
 @pytest.mark.parametrize("solve", [True, False])
 def test_conditions_of_repeated_cells_once(spark, policy, routes, solve):
     """Conditions are made, decided and shown below the join that brings in the rows."""
