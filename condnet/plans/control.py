@@ -12,7 +12,7 @@ from condnet.common import materialize, scratch, table
 from condnet.operators import apps, graph, routing
 from condnet.operators.algebra import natural_join
 from condnet.plans.encodings import duck, spark_table
-from condnet.plans.reference import _ACL, _CV, _HOPS, _LOG, _PV, _RATES, _RM, _SEEN, _SIZES, _TRI, _acl, _flat, _groups, _installed, _paths, _tp
+from condnet.plans.reference import _ACL, _CV, _HOPS, _LOG, _PV, _RATES, _RM, _SEEN, _SIZES, _TRI, _acl, _flat, _groups, _installed, _paths, _text, _tp
 from condnet.plans.reference import ORACLE as _OF
 from condnet.sources import text, topology
 from condnet.streaming.changes import Controller
@@ -161,7 +161,7 @@ def demo_instances(spark: SparkSession, d: str) -> DataFrame:
 @_add(_OF["c_join_norm"])
 def c_join_natural(spark: SparkSession, d: str) -> DataFrame:
     """The join on all columns that both tables have."""
-    return _flat(natural_join(spark_table(spark, d, "policy_ct"), spark_table(spark, d, "routes_ct")))
+    return natural_join(spark_table(spark, d, "policy_ct"), spark_table(spark, d, "routes_ct"), shown=_text)
 
 
 # state and administration

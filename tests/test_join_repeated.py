@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from condnet.operators.algebra import c_join, c_join_data
+from condnet.operators.algebra import c_join, c_join_data, natural_join
 from tests.test_ctables import ct
 
 ON = [("dest", "==", "dest"), ("path", "==", "path")]
@@ -60,6 +60,12 @@ def test_conditions_of_repeated_cells_once(spark, policy, routes, solve):
     assert got.columns == want.columns and got.dtypes == want.dtypes
 
 
+def test_natural_join_of_repeated_cells_once(spark, policy, routes):
+    got = natural_join(policy, routes)
+    assert rows(got) == rows(c_join(policy, routes, ON, split=False))
+    assert "ArrowEvalPython" not in on_top(got)
+
+
 def test_repeated_cells_of_other_types(spark):
     """Cells that are equal but differ as text are not joined as one."""
     a = spark.createDataFrame([("x", 0.0), ("1", 1.0)], "p string, q double")
