@@ -90,7 +90,7 @@ def c_join_condition_phase(spark: SparkSession, d: str) -> DataFrame:
 def c_join_sql_text(spark: SparkSession, d: str) -> DataFrame:
     """The same join from a query's text."""
     t = {"policy_ct": spark_table(spark, d, "policy_ct"), "routes_ct": spark_table(spark, d, "routes_ct")}
-    return _flat(query("SELECT * FROM policy_ct, routes_ct WHERE policy_ct.dest = routes_ct.dest AND policy_ct.path = routes_ct.path;", t))
+    return query("SELECT * FROM policy_ct, routes_ct WHERE policy_ct.dest = routes_ct.dest AND policy_ct.path = routes_ct.path;", t, shown=_text)
 
 
 def _sel(sql_filter: str, text: str, norm: str) -> str:

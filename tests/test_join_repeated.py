@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from condnet.operators.algebra import c_join, c_join_data, natural_join
+from condnet.operators.sqlfront import query
 from tests.test_ctables import ct
 
 ON = [("dest", "==", "dest"), ("path", "==", "path")]
@@ -60,10 +61,11 @@ def test_conditions_of_repeated_cells_once(spark, policy, routes, solve):
     assert got.columns == want.columns and got.dtypes == want.dtypes
 
 
-def test_natural_join_of_repeated_cells_once(spark, policy, routes):
-    got = natural_join(policy, routes)
-    assert rows(got) == rows(c_join(policy, routes, ON, split=False))
-    assert "ArrowEvalPython" not in on_top(got)
+def test_natural_join_and_query_text_of_repeated_cells_once(spark, policy, routes):
+    text = query("SELECT * FROM policy, routes WHERE policy.dest = routes.dest AND policy.path = routes.path", {"policy": policy, "routes": routes})
+    for df, op in ((natural_join(policy, routes), "=="), (text, "=")):
+        assert rows(df) == rows(c_join(policy, routes, [(a, op, b) for a, _, b in ON], split=False))
+        assert "ArrowEvalPython" not in on_top(df)
 
 
 def test_repeated_cells_of_other_types(spark):
