@@ -67,7 +67,7 @@ _NORM_JOIN = f"""
 @_add(_NORM_JOIN.replace("list_contains(condition", "list_contains(p.condition").replace("len(condition)", "len(p.condition)"))
 def c_join_norm(spark: SparkSession, d: str) -> DataFrame:
     """Policies joined with routes, conditions normalised."""
-    return _flat(c_join(spark_table(spark, d, "policy_ct"), spark_table(spark, d, "routes_ct"), _ON))
+    return c_join(spark_table(spark, d, "policy_ct"), spark_table(spark, d, "routes_ct"), _ON, shown=_text)
 
 
 _DATA_JOIN = f"SELECT p.dest AS l_dest, p.path AS l_path, r.dest AS r_dest, r.path AS r_path, r.flag AS r_flag FROM {_P} p JOIN {_R} r ON {_poss('=', 'p.dest', 'r.dest')} AND {_poss('=', 'p.path', 'r.path')}"
