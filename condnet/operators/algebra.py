@@ -130,7 +130,7 @@ def c_join_data(left: DataFrame, right: DataFrame, on: list[tuple[str, str, str]
     join on the disjunctions (for comparison). Where the right side repeats the cells that are compared, its distinct cells
     are joined, and its rows filled in.
     """
-    out = _filled(left, right, on, split, [b for _, _, b in on], lambda pairs: pairs)
+    out = _filled(left, right, on, split, [b for _, _, b in on], lambda pairs: pairs, ROWS)
     return out.select(*(f"l_{c}" for c in left.columns), *(f"r_{c}" for c in right.columns))
 
 
@@ -166,18 +166,21 @@ def _patterns(df: DataFrame, sides: list[Column], key: Column | None = None) ->
 
 #: Rows that have the same key are joined by it in so many parts, by a hash of their other cells.
 SALTS = 8
+#: In more parts where pairs are small, so that each has so many rows, on average: the copies of the pairs stay under a hundredth of the result.
+ROWS = 128
 #: A side that repeats its keys so many times, on average, is joined by its distinct keys.
 REPEATED = 4
 #: Of these types equal cells are the same cell, also as text.
 _EXACT = ("string", "array<string>", "boolean", "date", "timestamp", "timestamp_ntz", *_WHOLE)
 
 
-def _filled(left: DataFrame, right: DataFrame, on: list[tuple[str, str, str]], split: bool, cells: list[str], finish: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _filled(left: DataFrame, right: DataFrame, on: list[tuple[str, str, str]], split: bool, cells: list[str], finish: Callable[[DataFrame], DataFrame], size: int | None = None) -> DataFrame:
     """The pairs for which every comparison possibly holds, with what `finish` makes of them: it sees all of left, but of right only the cells named.
 
     If rows of right repeat these, each row of left is paired with the distinct ones, so that `finish` decides once what holds for
     many rows, and right's rows are joined to the pairs at the end, in a fixed number of partitions: few and small pairs make a
-    large result, which no size of theirs foretells.
+    large result, which no size of theirs foretells. size: how many rows a part of a key has, on average, where SALTS parts
+    would have more.
     """
     lt, rt = _prefixed(left, "l"), _prefixed(right, "r")
     equal = [(F.col(f"l_{a}").cast("string"), F.col(f"r_{b}").cast("string")) for a, op, b in on if operator(op) == "=="]
@@ -192,9 +195,10 @@ def _filled(left: DataFrame, right: DataFrame, on: list[tuple[str, str, str]], s
     patterns = [_patterns(lt, [a for a, _ in equal])[0], variables]
     if not exact or repeated < REPEATED:
         return finish(_pairs(lt, rt, on, patterns))
+    salts = max(SALTS, int(repeated // size)) if size else SALTS
     hashed = [c for c in others if "map<" not in kinds[c] and "variant" not in kinds[c]]
-    rows = rt.select(key.alias("__key"), (F.pmod(F.xxhash64(*hashed), F.lit(SALTS)) if hashed else F.lit(0)).cast("int").alias("__salt"), *others)
-    pairs = finish(_pairs(lt, rt.select(*cells).distinct(), on, patterns)).withColumns({"__key": key, "__salt": F.explode(F.array(*map(F.lit, range(SALTS))))})
+    rows = rt.select(key.alias("__key"), (F.pmod(F.xxhash64(*hashed), F.lit(salts)) if hashed else F.lit(0)).cast("int").alias("__salt"), *others)
+    pairs = finish(_pairs(lt, rt.select(*cells).distinct(), on, patterns)).withColumns({"__key": key, "__salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))})
     at = (parts(left.sparkSession), "__key", "__salt")
     # sorted: the rows of a pair stand together, so that a file holds what they share once
     return pairs.repartition(*at).hint("merge").join(rows.repartition(*at), ["__key", "__salt"]).drop("__key", "__salt")

@@ -47,6 +47,21 @@ def test_join_data_of_repeated_cells_in_parts(spark, policy, routes):
     assert rows(c_join_data(policy, one, ON)) == rows(c_join_data(policy, one, ON, split=False))
 
 
+def test_join_data_of_one_key_in_many_parts(spark, policy):
+    """A key that thousands of rows share is joined in more than eight parts, for as many tasks as there are."""
+    key = policy.where("dest = '0' and path = '[A]'")
+    many = ct(spark, [("0", "[A]", str(k), []) for k in range(5000)], ["dest", "path", "flag"])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = c_join_data(key, many, ON)
+        assert got.count() == 5000 * key.count() > 0
+        assert got.select("r_flag").distinct().count() == 5000
+        assert shares(got) < 1 / 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.mark.parametrize("solve", [True, False])
 def test_conditions_of_repeated_cells_once(spark, policy, routes, solve):
     """Conditions are made, decided and shown below the join that brings in the rows."""
